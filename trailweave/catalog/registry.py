@@ -13,7 +13,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 ORIGIN: dict[str, str] = {}
 
-MODULES = ["base", "cleaning"]
+MODULES = ["base", "cleaning", "aggregates", "sequences"]
 
 
 def query(name: str, oracle: str | None = None):

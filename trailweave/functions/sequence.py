@@ -120,10 +120,13 @@ def positions(
     )
 
 
-def exact_quantiles(df: DataFrame, column: str, qs: dict[str, float], hot_rows: int | None = None) -> DataFrame:
-    """One row with linearly interpolated quantiles, found by position instead of one big sort task."""
-    values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("v"))
-    counted = values.groupBy("v").agg(F.count("*").alias("n"))
+def exact_quantiles(df: DataFrame, column: str, qs: dict[str, float], hot_rows: int | None = None, weight: str | None = None) -> DataFrame:
+    """One row with linearly interpolated quantiles, found by position instead of one big sort task.
+
+    ``weight`` names a row-count column when each row stands for several equal values.
+    """
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("v"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("w"))
+    counted = values.groupBy("v").agg(F.sum("w").alias("n"))
     total = counted.agg(F.sum("n").alias("total"))
     ranked = running_total(counted, ["v"], "n", "upto", hot_rows)
     joined = ranked.join(F.broadcast(total), F.lit(True))

@@ -207,10 +207,13 @@ def located_xy(df: DataFrame) -> DataFrame:
     return df.where("lat IS NOT NULL AND lon IS NOT NULL").withColumns({"x": mercator_x(F.col("lon")), "y": mercator_y(F.col("lat"))})
 
 
-def grid(df: DataFrame, cells: int, pad: float, hot_rows: int | None = None) -> DataFrame:
-    """Adds square cell numbers over the 1 % to 99 % coordinate extent, widened by ``pad``."""
-    qx = exact_quantiles(df, "x", {"x0": 0.01, "x1": 0.99}, hot_rows)
-    qy = exact_quantiles(df, "y", {"y0": 0.01, "y1": 0.99}, hot_rows)
+def grid(df: DataFrame, cells: int, pad: float, hot_rows: int | None = None, weight: str | None = None) -> DataFrame:
+    """Adds square cell numbers; 0..cells-1 cover the 1 % to 99 % coordinate extent widened by ``pad``.
+
+    Points beyond the extent keep their (negative or larger) cell numbers, none is dropped.
+    """
+    qx = exact_quantiles(df, "x", {"x0": 0.01, "x1": 0.99}, hot_rows, weight)
+    qy = exact_quantiles(df, "y", {"y0": 0.01, "y1": 0.99}, hot_rows, weight)
     ends = F.broadcast(qx.join(qy, F.lit(True)))
     out = df.join(ends, F.lit(True))
 
@@ -218,8 +221,7 @@ def grid(df: DataFrame, cells: int, pad: float, hot_rows: int | None = None) ->
         spread = F.col(hi) - F.col(lo)
         return F.floor((F.col(v) - (F.col(lo) - pad * spread)) / (spread * (1 + 2 * pad) / cells)).cast("long")
 
-    return out.withColumns({"cx": cell("x", "x0", "x1"), "cy": cell("y", "y0", "y1")}).where(
-        F.col("cx").between(0, cells - 1) & F.col("cy").between(0, cells - 1))
+    return out.withColumns({"cx": cell("x", "x0", "x1"), "cy": cell("y", "y0", "y1")})
 
 
 def spatial_bin_mean(pois: DataFrame, cells: int = 95, min_count: int = 2, hot_rows: int | None = None) -> DataFrame:
@@ -231,7 +233,7 @@ def spatial_bin_mean(pois: DataFrame, cells: int = 95, min_count: int = 2, hot_r
 def checkin_density(visits: DataFrame, pois: DataFrame, cells: int = 60, hot_rows: int | None = None) -> DataFrame:
     """Check-ins per cell; visits are counted per POI before the coordinates are joined."""
     placed = located_xy(item_counts(visits).join(pois.select("poi_id", "lat", "lon"), "poi_id"))
-    return grid(placed, cells, 0.07, hot_rows).groupBy("cx", "cy").agg(F.sum("n_visits").alias("n_visits"))
+    return grid(placed, cells, 0.07, hot_rows, "n_visits").groupBy("cx", "cy").agg(F.sum("n_visits").alias("n_visits"))
 
 
 def poi_map_table(pois: DataFrame, intents: DataFrame) -> DataFrame:

@@ -230,3 +230,11 @@ def prev_poi(history: Column, current: Column) -> Column:
     """Second-to-last item when the last equals the current one, else the last."""
     last = F.try_element_at(history, F.lit(-1))
     return F.when((F.size(history) >= 2) & (last == current), F.try_element_at(history, F.lit(-2))).otherwise(last)
+
+
+def last_items(visits: DataFrame, n: int) -> DataFrame:
+    """(user_id, last_items): the last n visited POIs per user, oldest first."""
+    newest = top_per_group(visits.select("user_id", "poi_id", *[c for c in USER_ORDER if c != "poi_id"]), ["user_id"],
+                           [F.col(c).desc() for c in USER_ORDER], n, "back")
+    return newest.groupBy("user_id").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("o"), "poi_id"))), lambda x: x["poi_id"]).alias("last_items"))
