@@ -72,49 +72,95 @@ def expand_classes(wanted: DataFrame, placed: DataFrame, cls: str = "sig", upto:
     return asked.join(blocks, ["scope", cls, "_b"]).where(F.col("pos") <= F.col(upto)).drop("_b", "pos")
 
 
-def content_top_k(
-    cases: DataFrame, history: DataFrame, seen: DataFrame, vectors: DataFrame, sig_of: DataFrame, k: int,
-    hot_rows: int | None = None,
-) -> DataFrame:
-    """(case_id, poi_id, score, top, rank): exact best k unseen POIs by content similarity.
+def signature_usage(cases: DataFrame, history: DataFrame, seen: DataFrame, sig_of: DataFrame) -> DataFrame:
+    """(case_id, sig, n_seen, n_hist): how many members of a signature a case has seen or visited."""
+    scoped = seen.join(cases.select("case_id", "scope"), "case_id").join(sig_of, ["scope", "poi_id"])
+    marks = scoped.join(history.select("case_id", "poi_id", F.lit(1).alias("_h")), ["case_id", "poi_id"], "left")
+    return marks.groupBy("case_id", "sig").agg(F.count("*").alias("n_seen"), F.count("_h").alias("n_hist"))
+
+
+def content_reach(cases: DataFrame, history: DataFrame, seen: DataFrame, vectors: DataFrame, sig_of: DataFrame) -> DataFrame:
+    """(case_id, scope, sig, score, n_pois, n_seen, avail, top): similar signatures of each case.
 
     ``top`` is the largest score over POIs outside the history, the divisor used to normalise.
-    Similarities exist once per (case, signature). Per case only the signatures that can
-    reach the first k are expanded to POIs, and of each only its first k + seen members;
-    cases with fewer than k similar POIs are filled with zero-score POIs in id order.
     """
     scored = content_by_signature(user_profile(history, cases, vectors, sig_of), vectors)
     sizes = sig_of.groupBy("scope", "sig").agg(F.count("*").alias("n_pois"))
-    scoped_seen = seen.join(cases.select("case_id", "scope"), "case_id").join(sig_of, ["scope", "poi_id"])
-    marks = scoped_seen.join(history.select("case_id", "poi_id", F.lit(1).alias("_h")), ["case_id", "poi_id"], "left")
-    used = marks.groupBy("case_id", "sig").agg(F.count("*").alias("n_seen"), F.count("_h").alias("n_hist"))
+    used = signature_usage(cases, history, seen, sig_of)
     rows = (
         scored.join(sizes, ["scope", "sig"]).join(used, ["case_id", "sig"], "left")
         .fillna(0, ["n_seen", "n_hist"]).withColumn("avail", F.col("n_pois") - F.col("n_seen"))
     )
-    tops = rows.groupBy("case_id", "scope").agg(
-        F.max(F.when(F.col("n_pois") > F.col("n_hist"), F.col("score"))).alias("top"), F.sum("avail").alias("total"),
-        F.sum("n_pois").alias("n_similar"))
-    better = W.partitionBy("case_id").orderBy(F.col("score").desc()).rangeBetween(W.unboundedPreceding, 0)
-    tied = W.partitionBy("case_id", "score")
-    cum = rows.withColumn("_before", F.sum("avail").over(better) - F.sum("avail").over(tied))
-    reach = cum.where(F.col("_before") < k).select("case_id", "scope", "sig", "score", (F.col("n_seen") + k).alias("upto"))
-    placed = class_positions(sig_of, "sig", hot_rows)
-    similar = expand_classes(reach, placed).select("case_id", "poi_id", "score")
+    top = F.max(F.when(F.col("n_pois") > F.col("n_hist"), F.col("score"))).alias("top")
+    return attach(rows, ["case_id"], top).where("top > 0")
+
+
+def content_top_k(
+    reach: DataFrame, seen: DataFrame, sig_of: DataFrame, k: int, hot_rows: int | None = None,
+) -> DataFrame:
+    """(case_id, poi_id, sig, score, top, rank): exact best k unseen POIs by content similarity.
+
+    Order: score, then signature, then id. Similarities exist once per (case, signature). Per
+    case only the signatures that can reach the first k are expanded to POIs, and of each only
+    its first k + seen members; cases with fewer than k similar POIs are filled with
+    zero-score POIs.
+    """
+    w = W.partitionBy("case_id").orderBy(F.col("score").desc(), "sig").rowsBetween(W.unboundedPreceding, 0)
+    cum = reach.withColumn("_before", F.sum("avail").over(w) - F.col("avail"))
+    near = cum.where(F.col("_before") < k).select("case_id", "scope", "sig", "score", "top", (F.col("n_seen") + k).alias("upto"))
+    similar = expand_classes(near, class_positions(sig_of, "sig", hot_rows)).select("case_id", "poi_id", "sig", "score", "top")
     # zero tail: the similar and seen POIs of a short case are few, so its first unseen ids are near the front
-    short = tops.where(F.col("total") < k)
+    short = reach.groupBy("case_id", "scope").agg(F.sum("avail").alias("total"), F.sum("n_pois").alias("n_similar"), F.max("top").alias("top")).where(F.col("total") < k)
     n_seen = seen.groupBy("case_id").agg(F.count("*").alias("_ns"))
     wanted = short.join(n_seen, "case_id", "left").select(
-        "case_id", "scope", F.lit("*").alias("sig"), (F.coalesce("_ns", F.lit(0)) + F.col("n_similar") + k).alias("upto"))
-    front = positions(sig_of.select("scope", "poi_id"), ["scope"], ["poi_id"], "pos", hot_rows).withColumn("sig", F.lit("*"))
+        "case_id", "scope", "top", F.lit("*").alias("all"), (F.coalesce("_ns", F.lit(0)) + F.col("n_similar") + k).alias("upto"))
+    front = positions(sig_of.select("scope", "sig", "poi_id"), ["scope"], ["sig", "poi_id"], "pos", hot_rows).withColumn("all", F.lit("*"))
     tail = (
-        expand_classes(wanted, front).select("case_id", "scope", "poi_id")
-        .join(sig_of, ["scope", "poi_id"]).join(rows.select("case_id", "sig").distinct(), ["case_id", "sig"], "left_anti")
-        .select("case_id", "poi_id", F.lit(0.0).alias("score"))
+        expand_classes(wanted, front, "all")
+        .join(reach.select("case_id", "sig"), ["case_id", "sig"], "left_anti")
+        .select("case_id", "poi_id", "sig", F.lit(0.0).alias("score"), "top")
     )
     cand = exclude(similar.unionByName(tail), seen)
-    best = top_per_group(cand, ["case_id"], by_score(), k)
-    return best.join(tops.where("top > 0").select("case_id", "top"), "case_id")
+    return top_per_group(cand, ["case_id"], [F.col("score").desc(), F.col("sig"), F.col("poi_id")], k)
+
+
+def content_sizes(reach: DataFrame, seen: DataFrame, sig_of: DataFrame) -> DataFrame:
+    """(case_id, size): number of unseen POIs the content engine scores, zero scores included."""
+    per_case = reach.select("case_id", "scope").distinct()
+    totals = sig_of.groupBy("scope").agg(F.count("*").alias("_n"))
+    used = seen.join(per_case, "case_id").join(sig_of, ["scope", "poi_id"]).groupBy("case_id").agg(F.count("*").alias("_s"))
+    return per_case.join(totals, "scope").join(used, "case_id", "left").select("case_id", (F.col("_n") - F.coalesce("_s", F.lit(0))).alias("size"))
+
+
+def content_ranks(needed: DataFrame, reach: DataFrame, seen: DataFrame, sig_of: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """(case_id, poi_id, rank0): 0-based content rank of given unseen POIs, zero scores included.
+
+    The rank is the number of unseen POIs before a POI in (score, signature, id) order. It is
+    the POI's place inside its signature plus a running sum, per case, over one row for each
+    similar signature and each seen POI, so the full ranking is never built.
+    """
+    last = F.lit((1 << 63) - 1)
+    offsets = sig_of.groupBy("scope", "sig").agg(F.count("*").alias("_n"))
+    offsets = positions(offsets, ["scope"], ["sig"], "_i", hot_rows)
+    wp = W.partitionBy("scope").orderBy("_i").rowsBetween(W.unboundedPreceding, -1)
+    offsets = offsets.select("scope", "sig", F.coalesce(F.sum("_n").over(wp), F.lit(0)).alias("_g"))
+    placed = class_positions(sig_of, "sig", hot_rows).join(offsets, ["scope", "sig"])
+    scopes = reach.select("case_id", "scope").distinct()
+    sig_score = reach.select("case_id", "sig", "score")
+
+    def place(rows: DataFrame) -> DataFrame:
+        return rows.join(scopes, "case_id").join(placed, ["scope", "poi_id"]).join(sig_score, ["case_id", "sig"], "left").fillna(0.0, ["score"])
+
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
+    asked = place(needed.select("case_id", "poi_id")).select(
+        "case_id", "score", "sig", "poi_id", zero.alias("w"),
+        (F.col("pos") - 1 + F.when(F.col("score") == 0, F.col("_g")).otherwise(0)).alias("base"))
+    gone = place(seen.select("case_id", "poi_id")).select("case_id", "score", "sig", "poi_id", F.lit(-1).cast("long").alias("w"), none.alias("base"))
+    ends = reach.select("case_id", "score", "sig", last.alias("poi_id"), F.col("n_pois").alias("w"), none.alias("base"))
+    undo = reach.select("case_id", F.lit(0.0).alias("score"), "sig", last.alias("poi_id"), (-F.col("n_pois")).alias("w"), none.alias("base"))
+    rows = asked.unionByName(gone).unionByName(ends).unionByName(undo)
+    w = W.partitionBy("case_id").orderBy(F.col("score").desc(), "sig", "poi_id").rowsBetween(W.unboundedPreceding, 0)
+    return rows.withColumn("_run", F.sum("w").over(w)).where("base IS NOT NULL").select("case_id", "poi_id", (F.col("base") + F.col("_run")).alias("rank0"))
 
 
 # ---------------------------------------------------------------- co-visit and Markov
@@ -341,8 +387,7 @@ def train_als(interactions: DataFrame, rank: int = 64, reg: float = 0.01, iterat
 
     users, items = dense_ids(interactions, "user_id", "_u"), dense_ids(interactions, "poi_id", "_i")
     rows = interactions.join(users, "user_id").join(items, "poi_id").select("_u", "_i", F.col("n").cast("float").alias("n"))
-    model = ALS(rank=rank, regParam=reg, maxIter=iterations, alpha=alpha, seed=seed, implicitPrefs=True, userCol="_u", itemCol="_i", ratingCol="n",
-                checkpointInterval=-1).fit(rows)
+    model = ALS(rank=rank, regParam=reg, maxIter=iterations, alpha=alpha, seed=seed, implicitPrefs=True, userCol="_u", itemCol="_i", ratingCol="n").fit(rows)
     u = model.userFactors.join(users, F.col("id") == F.col("_u")).select("user_id", F.col("features").cast("array<double>").alias("vec"))
     i = model.itemFactors.join(items, F.col("id") == F.col("_i")).select("poi_id", F.col("features").cast("array<double>").alias("vec"))
     return u, i
