@@ -34,7 +34,7 @@ def top_items(
         "case_id", "vec", F.pmod(F.xxhash64("case_id"), F.lit(nq)).cast("int").alias("qb"),
         F.explode(F.sequence(F.lit(0), F.lit(ni - 1))).alias("ib"))
     i = items.select(
-        "poi_id", "vec", F.pmod(F.xxhash64("poi_id"), F.lit(ni)).cast("int").alias("ib"),
+        F.col("poi_id").alias("poi_id"), F.col("vec").alias("item_vec"), F.pmod(F.xxhash64("poi_id"), F.lit(ni)).cast("int").alias("ib"),
         F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
     cosine = metric == "cosine"
 
@@ -42,7 +42,7 @@ def top_items(
         if qs.empty or its.empty:
             return pd.DataFrame({"case_id": pd.Series(dtype="int64"), "poi_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         its = its.sort_values("poi_id")
-        a, b = np.vstack(qs["vec"].to_numpy()), np.vstack(its["vec"].to_numpy())
+        a, b = np.vstack(qs["vec"].to_numpy()), np.vstack(its["item_vec"].to_numpy())
         if cosine:
             a = a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
             b = b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)

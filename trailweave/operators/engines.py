@@ -203,14 +203,15 @@ def next_category(cats: DataFrame, trans_cat: DataFrame, topn: int = 20) -> Data
     return top_per_group(rows.select("case_id", F.col("cat_b").alias("category"), r9("p").alias("score")), ["case_id"], by_score("score", "category"), topn)
 
 
-def markov_cat_fallback(cases: DataFrame, found: DataFrame, trans_cat: DataFrame, pois: DataFrame) -> DataFrame:
+def markov_cat_fallback(cases: DataFrame, found: DataFrame, trans_cat: DataFrame, pois: DataFrame, candidates: str = "true") -> DataFrame:
     """For cases without POI transitions: P(category) * (0.7 + 0.3 * rating / max rating).
 
     Scores are worked out once per (scope, source category) and then looked up by the cases.
+    ``candidates`` is a condition on the POIs that may be suggested.
     """
     empty = cases.where("current_poi IS NOT NULL").join(found.select("case_id").distinct(), "case_id", "left_anti")
     cur = empty.join(pois.select(F.col("poi_id").alias("current_poi"), F.col("primary_category").alias("cat_a")), "current_poi").select("case_id", "scope", "cat_a")
-    scoped = pois if "scope" in pois.columns else pois.withColumn("scope", F.lit("ALL"))
+    scoped = (pois if "scope" in pois.columns else pois.withColumn("scope", F.lit("ALL"))).where(candidates)
     needed = cur.select("scope", "cat_a").distinct()
     reach = needed.join(trans_cat.select("cat_a", F.col("cat_b").alias("primary_category"), "p"), "cat_a")
     rows = reach.join(scoped.select("scope", "poi_id", "primary_category", F.coalesce("rating", F.lit(0.0)).alias("rating")), ["scope", "primary_category"])

@@ -86,11 +86,33 @@ def diversity(recs: DataFrame, primary: DataFrame, keys: list[str] | None = None
 
 
 def all_metrics(recs: DataFrame, truth: DataFrame, primary: DataFrame, counts: DataFrame, k: int, keys: list[str], scoped: bool = False) -> DataFrame:
-    """One row per list with every metric."""
-    return (
-        rank_metrics(recs, truth, k, keys).join(category_metrics(recs, truth, primary, k, keys), keys)
-        .join(novelty(recs, counts, keys, scoped), keys).join(diversity(recs, primary, keys), keys)
+    """One row per list with every metric, from one join per lookup and one aggregate per list."""
+    truth_cats = truth.join(primary, "poi_id").select("case_id", "category").distinct()
+    sizes = truth.groupBy("case_id").agg(F.count("*").alias("_t")).join(truth_cats.groupBy("case_id").agg(F.count("*").alias("_tc")), "case_id", "left")
+    groups = ["scope"] if scoped else []
+    totals = counts.groupBy(*groups).agg((F.sum("n_visits") + F.greatest(F.count("*"), F.lit(1))).cast("double").alias("_d"))
+    rows = (
+        recs.where(F.col("rank") <= k).join(truth.select("case_id", "poi_id", F.lit(1).alias("_h")), ["case_id", "poi_id"], "left")
+        .join(primary.select("poi_id", "category"), "poi_id", "left").join(counts.select("poi_id", "n_visits"), "poi_id", "left")
+        .join(truth_cats.withColumn("_ch", F.lit(1)), ["case_id", "category"], "left")
     )
+    rows = rows.join(totals, "scope") if scoped else rows.join(F.broadcast(totals), F.lit(True))
+    first = F.row_number().over(W.partitionBy(*keys, "category").orderBy("rank")) == 1
+    rows = rows.withColumn("_ch", F.when(first, F.col("_ch"))).withColumn("_g", 1.0 / F.log2(F.col("rank") + 1.0))
+    surprise = -F.log2((F.coalesce("n_visits", F.lit(0)) + 1.0) / F.col("_d")) / F.log2("_d")
+    agg = rows.groupBy(*keys).agg(
+        F.count("_h").alias("_hits"), F.min(F.when(F.col("_h") == 1, F.col("rank"))).alias("_first"), F.sum(F.when(F.col("_h") == 1, F.col("_g"))).alias("_dcg"),
+        F.count("_ch").alias("_chits"), F.sum(F.when(F.col("_ch") == 1, F.col("_g"))).alias("_cdcg"), F.avg(surprise).alias("novelty"),
+        (F.size(F.collect_set(F.coalesce("category", F.lit("__unknown__")))) / F.count("*")).alias("diversity"))
+    out = agg.join(sizes, "case_id", "left").fillna(0, ["_t", "_tc"])
+    share = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
+    flag = lambda c: F.when(F.col(c) > 0, 1.0).otherwise(0.0)
+    gain = lambda d, n: F.coalesce(F.col(d) / ideal_dcg(F.col(n), k), F.lit(0.0))
+    return out.select(
+        *keys, flag("_hits").alias("hit"), (F.col("_hits") / float(k)).alias("precision"), share("_hits", "_t").alias("recall"),
+        F.coalesce(1.0 / F.col("_first"), F.lit(0.0)).alias("mrr"), gain("_dcg", "_t").alias("ndcg"),
+        flag("_chits").alias("cat_hit"), (F.col("_chits") / float(k)).alias("cat_precision"), share("_chits", "_tc").alias("cat_recall"),
+        gain("_cdcg", "_tc").alias("cat_ndcg"), "novelty", "diversity")
 
 
 def to_long(wide: DataFrame, keys: list[str], names: list[str] = EVAL_METRICS) -> DataFrame:

@@ -9,6 +9,7 @@ from trailweave.functions.numeric import top_per_group
 from trailweave.functions.sequence import positions
 from trailweave.operators.features import interactions
 from trailweave.operators.transitions import TRAIL_ORDER, USER_ORDER
+from trailweave.session import materialize
 
 
 def _tail_split(visits: DataFrame, key: str, order: list[str], test_size: int, min_train: int, hot_rows: int | None = None) -> DataFrame:
@@ -49,6 +50,10 @@ class Cases:
     truth: DataFrame
     all_cases: DataFrame
 
+    def materialize(self) -> "Cases":
+        """The same cases as written tables, since every engine and metric starts from them."""
+        return Cases(*[materialize(df) for df in (self.cases, self.history, self.seen, self.truth, self.all_cases)])
+
     @property
     def skipped(self) -> DataFrame:
         return self.all_cases.join(self.cases.select("case_id"), "case_id", "left_anti")
