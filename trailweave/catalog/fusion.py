@@ -12,9 +12,9 @@ from trailweave.operators import features, fusion
 from trailweave.operators import transitions as tr
 
 add_view("v_escores", """
-SELECT case_id, 'markov' AS engine, poi_id, round(score / max(score) OVER (PARTITION BY case_id), 9) AS score FROM v_umarkov
-UNION ALL SELECT case_id, 'embed', poi_id, round(score / max(score) OVER (PARTITION BY case_id), 9) FROM v_uembed
-UNION ALL SELECT case_id, 'als', poi_id, round(score / max(score) OVER (PARTITION BY case_id), 9) FROM (SELECT case_id, poi_id, score FROM v_als_known) x""")
+SELECT case_id, 'markov' AS engine, poi_id, score / max(score) OVER (PARTITION BY case_id) AS score FROM v_umarkov
+UNION ALL SELECT case_id, 'embed', poi_id, score / max(score) OVER (PARTITION BY case_id) FROM v_uembed
+UNION ALL SELECT case_id, 'als', poi_id, score / max(score) OVER (PARTITION BY case_id) FROM (SELECT case_id, poi_id, score FROM v_als_known) x""")
 add_view("v_mcase", "SELECT case_id, CASE case_id % 4 WHEN 0 THEN 'hybrid' WHEN 1 THEN 'markov' WHEN 2 THEN 'embed' ELSE 'als' END AS mode FROM v_ucase")
 
 
@@ -27,7 +27,7 @@ def scores(t):
     als = eng.als_score(known, history.join(known.select("case_id"), "case_id", "left_semi"), t.user_vectors, t.item_vectors, 50).withColumn("score", r9("score"))
     out = None
     for name, df in (("markov", markov), ("embed", embed), ("als", als)):
-        one = eng.max_normalize(df).select("case_id", F.lit(name).alias("engine"), "poi_id", F.round("score", 9).alias("score"))
+        one = eng.max_normalize(df).select("case_id", F.lit(name).alias("engine"), "poi_id", "score")
         out = one if out is None else out.unionByName(one)
     return out
 
