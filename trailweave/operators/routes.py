@@ -95,7 +95,7 @@ def gather(rows: DataFrame, keys: list[str], order: str, columns: list[str], onc
     Only for groups of bounded size: the planner's pool, or the stops of one route.
     """
     packed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias("_s"), *[F.first(c).alias(c) for c in once])
-    return packed.select(*keys, *once, *[F.transform("_s", lambda x, c=c: x[c]).alias(c) for c in columns])
+    return packed.select(*keys, *once, *[F.col(f"_s.{c}").alias(c) for c in columns])
 
 
 STOP_SCHEMA = "step long, poi_id long, lat double, lon double, primary_category string, score double, leg_km double"
