@@ -13,7 +13,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 ORIGIN: dict[str, str] = {}
 
-MODULES = ["base", "cleaning", "aggregates", "sequences", "engines", "fusion", "ranking", "journeys", "offline"]
+MODULES = ["base", "cleaning", "aggregates", "sequences", "engines", "fusion", "ranking", "journeys", "multi", "offline"]
 
 
 def query(name: str, oracle: str | None = None):
