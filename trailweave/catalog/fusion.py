@@ -5,11 +5,12 @@ from pyspark.sql import functions as F
 
 from trailweave.catalog.engines import _recent, ucases
 from trailweave.catalog.oracle_views import add_view
-from trailweave.catalog.registry import query
+from trailweave.catalog.registry import query, shared
 from trailweave.functions.numeric import r9
 from trailweave.operators import engines as eng
 from trailweave.operators import features, fusion
 from trailweave.operators import transitions as tr
+from trailweave.session import materialize
 
 add_view("v_escores", """
 SELECT case_id, 'markov' AS engine, poi_id, score / max(score) OVER (PARTITION BY case_id) AS score FROM v_umarkov
@@ -18,6 +19,7 @@ UNION ALL SELECT case_id, 'als', poi_id, score / max(score) OVER (PARTITION BY c
 add_view("v_mcase", "SELECT case_id, CASE case_id % 4 WHEN 0 THEN 'hybrid' WHEN 1 THEN 'markov' WHEN 2 THEN 'embed' ELSE 'als' END AS mode FROM v_ucase")
 
 
+@shared
 def scores(t):
     cases, history = ucases(t)
     markov = eng.markov2_backoff(cases, tr.transitions_poi(t.visits), tr.transitions_order2(t.visits), 100)
@@ -29,7 +31,7 @@ def scores(t):
     for name, df in (("markov", markov), ("embed", embed), ("als", als)):
         one = eng.max_normalize(df).select("case_id", F.lit(name).alias("engine"), "poi_id", "score")
         out = one if out is None else out.unionByName(one)
-    return out
+    return materialize(out)
 
 
 def mode_cases(t):

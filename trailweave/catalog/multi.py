@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from trailweave.catalog.journeys import hav
 from trailweave.catalog.oracle_views import add_view
 from trailweave.catalog.ranking import built
-from trailweave.catalog.registry import query
+from trailweave.catalog.registry import query, shared
 from trailweave.functions.numeric import r6
 from trailweave.operators import engines as eng
 from trailweave.operators import intents, prefs, variants
@@ -125,11 +125,10 @@ SELECT req_id, rank, poi_id, score FROM (SELECT p.req_id, p.k, p.poi_id, p.score
  FROM v_inputs_pool p LEFT JOIN n ON n.req_id = p.req_id LEFT JOIN b ON b.req_id = p.req_id AND b.poi_id = p.poi_id) WHERE rank <= k""")
 
 
+@shared
 def multi(t):
-    if not hasattr(t, "_multi"):
-        p = mr.MultiRouteParams(surprise=variants.SurpriseParams(rate=0.25))
-        t._multi = mr.build_multi_routes(t.requests, built(t), p)
-    return t._multi
+    p = mr.MultiRouteParams(surprise=variants.SurpriseParams(rate=0.25))
+    return mr.build_multi_routes(t.requests, built(t), p)
 
 
 @query("variant_inputs", "SELECT * FROM v_inputs")

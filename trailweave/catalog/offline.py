@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from trailweave.catalog.engines import _COOC, RANDOM_SQL, content_views, markov_view
 from trailweave.catalog.oracle_views import add_view
-from trailweave.catalog.registry import query
+from trailweave.catalog.registry import query, shared
 from trailweave.functions.numeric import r6
 from trailweave.operators import engines as eng
 from trailweave.operators import features, metrics, splits
@@ -90,11 +90,13 @@ def user_cases(t):
     return splits.cases_user(splits.split_user(t.visits, 2, 1))
 
 
+@shared
 def last_trail_cases(t):
     split = materialize(splits.split_last_trail(t.visits, 2, 4))
     return splits.cases_last_trail(split).materialize(), split.where("part = 'train'").drop("part")
 
 
+@shared
 def trail_cases(t):
     split = materialize(splits.split_trail(t.visits, 1, 2))
     return splits.cases_trail(split, False).materialize(), split.where("part = 'train'").drop("part")
@@ -153,6 +155,7 @@ SELECT case_id, 'popular' AS mode, poi_id, rank FROM (SELECT c.case_id, p.poi_id
 metric_views("v_cum", "v_cu_recs", "v_cu_truth", "v_cu_counts")
 
 
+@shared
 def _popular_lists(t):
     split = materialize(splits.split_user(t.visits, 2, 1))
     c = splits.cases_user(split).materialize()
@@ -233,16 +236,18 @@ UNION ALL SELECT case_id, 'random', poi_id, rank FROM ({RANDOM_SQL.format(case=f
 mode_views("v_cl")
 
 
+@shared
 def _recs(t):
     c, train = last_trail_cases(t)
     p = ev.EvalParams(k=K)
     s = ev.engine_scores(c, train, t.pois, t.poi_categories, p)
-    return c, train, ev.recommend_modes(c, s, train, t.pois, p)
+    return c, train, materialize(ev.recommend_modes(c, s, train, t.pois, p))
 
 
+@shared
 def _lists(t):
     c, train, recs = _recs(t)
-    return c, ev.eval_lists(c, recs, train, t.pois, t.poi_categories, K)
+    return c, materialize(ev.eval_lists(c, recs, train, t.pois, t.poi_categories, K))
 
 
 @query("recommend_modes", "SELECT case_id, mode, poi_id, rank FROM v_cl_recs")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from trailweave.catalog.engines import content_views
 from trailweave.catalog.oracle_views import add_view
-from trailweave.catalog.registry import query
+from trailweave.catalog.registry import query, shared
 from trailweave.functions.numeric import r6, r9
 from trailweave.functions.geo import radius_join
 from trailweave.operators import features, intents, prefs, rerank
@@ -170,10 +170,9 @@ UNION ALL SELECT case_id, poi_id, rank, score, NULL, 'popularity' FROM (SELECT r
  WHERE r.req_id NOT IN (SELECT case_id FROM v_r_fused)) WHERE rank <= k""")
 
 
+@shared
 def built(t):
-    if not hasattr(t, "_features"):
-        t._features = rec.build_features(t.visits, t.pois, t.poi_categories)
-    return t._features
+    return rec.build_features(t.visits, t.pois, t.poi_categories)
 
 
 @query("recommend", "SELECT case_id, poi_id, rank, score, distance_km, source FROM v_recommend")

@@ -13,7 +13,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 ORIGIN: dict[str, str] = {}
 
-MODULES = ["base", "cleaning", "aggregates", "sequences", "engines", "fusion", "ranking", "journeys", "multi", "offline"]
+MODULES = ["base", "cleaning", "aggregates", "sequences", "engines", "fusion", "ranking", "journeys", "multi", "offline", "tuning"]
+
+
+_TABLES: dict[tuple[str, str], Tables] = {}
+
+
+def tables_for(spark: SparkSession, sf_dir: str) -> Tables:
+    """One table set per session and folder, so feature tables written once are shared by the queries."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _TABLES:
+        _TABLES[key] = Tables(spark, sf_dir)
+    return _TABLES[key]
 
 
 def query(name: str, oracle: str | None = None):
@@ -21,7 +32,7 @@ def query(name: str, oracle: str | None = None):
 
     def wrap(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(Tables(spark, sf_dir))
+            return fn(tables_for(spark, sf_dir))
 
         run.__name__ = name
         if name in QUERIES:
@@ -35,6 +46,18 @@ def query(name: str, oracle: str | None = None):
     return wrap
 
 
+def shared(fn):
+    """Keep the result of ``fn(tables)`` on the table set: intermediate tables used by several queries."""
+
+    def once(t: Tables):
+        cache = t.__dict__.setdefault("_shared", {})
+        if fn not in cache:
+            cache[fn] = fn(t)
+        return cache[fn]
+
+    return once
+
+
 def load_all() -> None:
     for m in MODULES:
         import_module(f"trailweave.catalog.{m}")
