@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from trailweave.functions.numeric import attach
+from trailweave.functions.sequence import positions
 
 # Distinct POIs of one trail handled by one (trail, chunk) group of the pair join.
 PAIR_CHUNK = 2048
@@ -59,17 +60,24 @@ def signatures(cats: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(F.collect_list("category_name")), "|").alias("sig"))
 
 
+def number_signatures(sig_text: DataFrame) -> DataFrame:
+    """(poi_id, sig, sig_text): signatures numbered from 1 in text order; joins then carry a number."""
+    ids = positions(sig_text.select(F.col("sig").alias("sig_text")).distinct(), [], ["sig_text"], "sig").withColumn("sig", F.col("sig").cast("int"))
+    return sig_text.withColumnRenamed("sig", "sig_text").join(ids, "sig_text").select("poi_id", "sig", "sig_text")
+
+
 def tfidf_by_signature(cats: DataFrame, scope: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Signature vectors and the POI-to-signature map.
 
-    Returns (scope, sig, term, weight) and (scope, poi_id, sig). Weights are
-    tf * (ln((1 + n) / (1 + df)) + 1), L2-normalised; n and df count POIs of the scope.
-    ``scope`` is (poi_id, scope); without it all POIs share the scope "ALL".
+    Returns (scope, sig, term, weight) and (scope, poi_id, sig); ``sig`` is a number in the
+    order of the signature text. Weights are tf * (ln((1 + n) / (1 + df)) + 1), L2-normalised;
+    n and df count POIs of the scope. ``scope`` is (poi_id, scope); without it all POIs share
+    the scope "ALL".
     """
-    sig_of = signatures(cats)
-    sig_of = sig_of.join(scope.select("poi_id", "scope"), "poi_id") if scope is not None else sig_of.withColumn("scope", F.lit("ALL"))
-    sig_sizes = sig_of.groupBy("scope", "sig").agg(F.count("*").alias("n_pois"))
-    words = F.regexp_extract_all(F.lower("sig"), F.lit(TOKEN), F.lit(0))
+    numbered = number_signatures(signatures(cats))
+    scoped = numbered.join(scope.select("poi_id", "scope"), "poi_id") if scope is not None else numbered.withColumn("scope", F.lit("ALL"))
+    sig_sizes = scoped.groupBy("scope", "sig", "sig_text").agg(F.count("*").alias("n_pois"))
+    words = F.regexp_extract_all(F.lower("sig_text"), F.lit(TOKEN), F.lit(0))
     tf = sig_sizes.select("scope", "sig", "n_pois", F.explode(words).alias("term")).groupBy("scope", "sig", "n_pois", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("scope", "term").agg(F.sum("n_pois").alias("df"))
     total = sig_sizes.groupBy("scope").agg(F.sum("n_pois").alias("n_docs"))
@@ -77,7 +85,7 @@ def tfidf_by_signature(cats: DataFrame, scope: DataFrame | None = None) -> tuple
         "raw", F.col("tf") * (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1))
     normed = attach(raw, ["scope", "sig"], F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("_norm"))
     vectors = normed.select("scope", "sig", "term", (F.col("raw") / F.col("_norm")).alias("weight"))
-    return vectors, sig_of
+    return vectors, scoped.select("scope", "poi_id", "sig")
 
 
 def tfidf(cats: DataFrame) -> DataFrame:

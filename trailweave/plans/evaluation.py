@@ -77,7 +77,7 @@ def engine_scores(
         rows = one if rows is None else rows.unionByName(one)
     allowed = c.cases.select("case_id", "scope").join(pois.select("scope").distinct(), "scope", "left_semi")
     rows = eng.exclude(rows, c.seen).join(allowed, "case_id").join(pois.select("scope", "poi_id"), ["scope", "poi_id"], "left_semi")
-    rows = rows.join(sig_of, ["scope", "poi_id"], "left").select("case_id", "engine", "poi_id", "score", F.coalesce("sig", F.lit("")).alias("sig"))
+    rows = rows.join(sig_of, ["scope", "poi_id"], "left").select("case_id", "engine", "poi_id", "score", F.coalesce("sig", F.lit(0)).alias("sig"))
     return Scored(materialize(rows), reach, sig_of)
 
 

@@ -52,14 +52,21 @@ def build_features(visits: DataFrame, pois: DataFrame, cats: DataFrame, p: Recom
     p = p or RecommendParams()
     pois = pois if "scope" in pois.columns else pois.withColumn("scope", F.lit("ALL"))
     vectors, sig_of = map(materialize, features.tfidf_by_signature(cats, pois))
-    usable = rerank.exclude_category(rerank.has_metadata(pois), p.excluded).join(sig_of.drop("scope"), "poi_id", "left").fillna("", ["sig"])
-    label = F.concat_ws("\u0001", "sig", "primary_category")
-    cls = F.concat_ws("\u0001", "sig", "primary_category", F.coalesce(F.col("price_tier").cast("string"), F.lit("-")), F.coalesce(F.col("is_free").cast("string"), F.lit("-")))
-    marked = usable.select("scope", "poi_id", "sig", "primary_category", "price_tier", "is_free", label.alias("label"), cls.alias("cls"))
+    usable = rerank.exclude_category(rerank.has_metadata(pois), p.excluded).join(sig_of.drop("scope"), "poi_id", "left").fillna(0, ["sig"])
+    # labels (signature and primary category) and classes are numbered, so that joins carry numbers
+    texts = features.signatures(cats).withColumnRenamed("sig", "sig_text")
+    labelled = usable.select("poi_id", "sig", "primary_category").join(texts, "poi_id", "left").groupBy("sig", "primary_category").agg(F.max("sig_text").alias("sig_text"))
+    labelled = materialize(positions(labelled, [], ["sig", "primary_category"], "label").withColumn("label", F.col("label").cast("int")))
+    kinds = ["sig", "primary_category", "price_tier", "is_free"]
+    numbers = positions(usable.select(*kinds).distinct(), [], kinds, "cls").select(*[F.col(c).alias(f"_{c}") for c in kinds], F.col("cls").cast("int").alias("cls"))
+    same = F.lit(True)
+    for c in kinds:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    marked = usable.join(labelled.drop("sig_text"), ["sig", "primary_category"]).join(numbers, same).select("scope", "poi_id", *kinds, "label", "cls")
     poi_class = materialize(positions(marked, ["scope", "cls"], ["poi_id"], "pos"))
-    classes = materialize(poi_class.groupBy("scope", "cls", "sig", "primary_category", "price_tier", "is_free", "label").agg(F.count("*").alias("n_pois")))
-    names = classes.select("label", "sig", "primary_category").distinct().select(
-        "label", F.explode(F.array_distinct(F.array_append(F.filter(F.split("sig", r"\|"), lambda x: x != ""), F.col("primary_category")))).alias("name")).distinct()
+    classes = materialize(poi_class.groupBy("scope", "cls", *kinds, "label").agg(F.count("*").alias("n_pois")))
+    names = labelled.select(
+        "label", F.explode(F.array_distinct(F.array_append(F.filter(F.split(F.coalesce("sig_text", F.lit("")), r"\|"), lambda x: x != ""), F.col("primary_category")))).alias("name")).distinct()
     labels = materialize(names.join(intents.intent_classify(names.select("name").distinct(), "name").select("name", "intent", "confidence"), "name"))
     return Features(
         visits, pois, materialize(features.item_counts(visits)), vectors, sig_of, materialize(features.cooccurrence(visits)),
