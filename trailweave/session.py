@@ -34,14 +34,14 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint.
+    """Cut lineage with a table written to the shared folder and read back.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a private one is
-    set only where that is unset, as in local tests.
+    The folder is the one the cluster names in ``spark.checkpoint.dir`` (a private one only where
+    that is unset, as in local tests). Unlike a checkpoint, the written table keeps its size
+    for the planner, so small tables are broadcast by size, and later scans read only the
+    columns they need. A lost executor costs a re-read, not a re-computation.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="trailweave-ckpt-"))
-    return df.checkpoint(eager=True)
+    path = scratch_dir(spark) + "/table"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
