@@ -25,21 +25,42 @@ def local_session(cpus: str = "8", app: str = "trailweave", partitions: str = "8
     return spark
 
 
+_ROOTS: dict[str, str] = {}
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    """The session's own folder for written tables, removed when the driver's JVM ends.
+
+    It lies in the shared folder the cluster names in ``spark.checkpoint.dir``. A session on a
+    ``local[...]`` master, whose tasks all see the driver's disk, may leave that unset; any other must set it.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _ROOTS:
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            base = tempfile.gettempdir()
+        root = f"{base.rstrip('/')}/trailweave-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _ROOTS[app] = str(files.makeQualified(path).toString())
+    return _ROOTS[app]
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder for written tables, inside the cluster's shared folder when it names one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return f"{base.rstrip('/')}/trailweave-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="trailweave-")
+    """The name of a new folder for one written table."""
+    return f"{_scratch_root(spark)}/{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a table written to the shared folder and read back.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir`` (a private one only where
-    that is unset, as in local tests). Unlike a checkpoint, the written table keeps its size
-    for the planner, so small tables are broadcast by size, and later scans read only the
-    columns they need. A lost executor costs a re-read, not a re-computation.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Unlike a checkpoint, the
+    written table keeps its size for the planner, so small tables are broadcast by size, and later
+    scans read only the columns they need. A lost executor costs a re-read, not a re-computation.
     """
     spark = df.sparkSession
     path = scratch_dir(spark) + "/table"
