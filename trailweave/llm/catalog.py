@@ -7,8 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.llm import bpe, packing, tokenfiles
-from trailweave.session import scratch_dir
+from trailweave.llm import ann, bpe, dedup, htmltext, packing, shards, tokenfiles, toxicity, winnow
+from trailweave.session import materialize, scratch_dir
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 BYTE_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -41,9 +41,67 @@ def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query
+def op3_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and how alike they are."""
+    pairs = winnow.edited_pairs(table(spark, sf_dir, "documents"))
+    return pairs.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        winnow.as_text(F.col("positions"), F.col("hashes")).alias("fingerprint"),
+        winnow.as_text(F.col("edited_positions"), F.col("edited_hashes")).alias("edited_fingerprint"),
+        winnow.likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"), winnow.likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"))
+
+
+@query
+def op6_block_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of all vectors for every vector whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
+@query
+def op7_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked by at least 85 % shared five-word shingles."""
+    return dedup.near_duplicates(table(spark, sf_dir, "documents"), 85)
+
+
 @query
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as flat token files and read back."""
     folder = scratch_dir(spark)
     manifest = tokenfiles.write(table(spark, sf_dir, "documents"), BYTE_FILE, folder)
     return tokenfiles.read(spark, manifest, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+#: Bytes a shard may hold.
+SHARD_BYTES = 64 << 20
+
+
+@query
+def op9_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document, by hash prefixes of its id, with at most 64 MiB of text a shard."""
+    sizes = materialize(table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")))
+    return shards.assign(sizes, SHARD_BYTES, F.col("doc_id"), F.col("n_bytes")).select("doc_id", "n_bytes", "shard", "depth", "shard_bytes", "shard_docs")
+
+
+ORACLES["op9_extendible_hashing"] = f"""
+WITH d AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+lv AS (SELECT unnest(range(0, 61))::BIGINT AS depth),
+probe AS (SELECT doc_id, n_bytes, h, depth, h >> (60 - depth) AS bucket FROM d, lv),
+nodes AS (SELECT depth, bucket, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS shard_docs FROM probe GROUP BY ALL),
+leaf AS (SELECT a.doc_id, a.h, min(a.depth) AS depth FROM probe a JOIN nodes USING (depth, bucket) WHERE shard_bytes <= {SHARD_BYTES} OR depth = 60 GROUP BY ALL)
+SELECT d.doc_id, d.n_bytes, CASE WHEN depth = 0 THEN '' ELSE right(lpad(bin(n.bucket), 60, '0'), depth::INT) END AS shard, depth::INT AS depth, shard_bytes, shard_docs
+FROM d JOIN leaf USING (doc_id, h) JOIN nodes n USING (depth) WHERE n.bucket = d.h >> (60 - depth)
+"""
+
+
+@query
+def op10_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
