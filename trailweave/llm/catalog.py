@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.llm import ann, bpe, dedup, htmltext, packing, shards, tokenfiles, toxicity, winnow
+from trailweave.llm import ann, bpe, dedup, htmltext, packing, pii, shards, tokenfiles, toxicity, winnow
 from trailweave.session import materialize, scratch_dir
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -47,6 +47,12 @@ def op3_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+@query
+def op4_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: base spans by kind and the spans that the classifier adds."""
+    return pii.report(pii.find(table(spark, sf_dir, "documents"))[0])
+
+
 @query
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they are."""
@@ -95,7 +101,7 @@ WITH d AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, ('0x' ||
 lv AS (SELECT unnest(range(0, 61))::BIGINT AS depth),
 probe AS (SELECT doc_id, n_bytes, h, depth, h >> (60 - depth) AS bucket FROM d, lv),
 nodes AS (SELECT depth, bucket, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS shard_docs FROM probe GROUP BY ALL),
-leaf AS (SELECT a.doc_id, a.h, min(a.depth) AS depth FROM probe a JOIN nodes USING (depth, bucket) WHERE shard_bytes <= {SHARD_BYTES} OR depth = 60 GROUP BY ALL)
+leaf AS (SELECT a.doc_id, a.h, min(a.depth) AS depth FROM probe a JOIN nodes USING (depth, bucket) WHERE shard_bytes <= {SHARD_BYTES} OR shard_docs = 1 OR depth = 60 GROUP BY ALL)
 SELECT d.doc_id, d.n_bytes, CASE WHEN depth = 0 THEN '' ELSE right(lpad(bin(n.bucket), 60, '0'), depth::INT) END AS shard, depth::INT AS depth, shard_bytes, shard_docs
 FROM d JOIN leaf USING (doc_id, h) JOIN nodes n USING (depth) WHERE n.bucket = d.h >> (60 - depth)
 """

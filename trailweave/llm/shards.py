@@ -37,17 +37,17 @@ def grow(rows: DataFrame, low: int, high: int, limit: int) -> DataFrame:
     levels = cells.withColumn("depth", F.explode(F.sequence(F.lit(first), F.lit(high)))).withColumn(
         "bucket", F.expr(f"shiftright(cell, {high} - depth)"))
     nodes = levels.groupBy("depth", "bucket").agg(F.sum("bytes").alias("bucket_bytes"), F.sum("docs").alias("bucket_docs"))
-    fitting = levels.select("cell", "depth", "bucket").join(nodes, ["depth", "bucket"]).where((F.col("bucket_bytes") <= limit) | (F.col("depth") == high))
+    fitting = levels.select("cell", "depth", "bucket").join(nodes, ["depth", "bucket"]).where((F.col("bucket_bytes") <= limit) | (F.col("bucket_docs") == 1) | (F.col("depth") == high))
     leaf = fitting.groupBy("cell").agg(F.min(F.struct("depth", "bucket", "bucket_bytes", "bucket_docs")).alias("leaf"))
-    return materialize(leaf.select("cell", "leaf.*").withColumn("open", F.col("bucket_bytes") > limit))
+    return materialize(leaf.select("cell", "leaf.*").withColumn("open", (F.col("bucket_bytes") > limit) & (F.col("bucket_docs") > 1)))
 
 
 def assign(df: DataFrame, limit: int, key: Column, size: Column, spare_bits: int = 4, step: int = 8) -> DataFrame:
     """``df`` with shard string, depth int, shard_bytes long and shard_docs long added (columns so named are replaced).
 
     The shard's name is its bits, the empty string for the whole. Every shard has at most ``limit`` bytes, save
-    where rows of one key (or one hash) alone have more: those share all bits, stay together and are a shard of
-    their own, as is a single row over the limit. Null sizes count as 0, null keys as the empty string. Repeated
+    a single row over the limit, which is a shard by itself, and rows of one key (or one hash) that have more
+    together: those share all bits and stay together. Null sizes count as 0, null keys as the empty string. Repeated
     rows count each. An empty table gives no rows.
     """
     df = df.withColumn("_h", key_hash(key))
@@ -77,10 +77,9 @@ def directory(assigned: DataFrame) -> DataFrame:
     """The directory over the global depth: for each shard the first and last entry (hash prefixes of that many bits) that lead to it."""
     shards = assigned.select("shard", "depth", "shard_bytes", "shard_docs").distinct()
     deepest = shards.agg(F.max("depth").alias("global_depth"))
-    value = F.coalesce(F.conv("shard", 2, 10).cast("long"), F.lit(0))
-    free = F.col("global_depth") - F.col("depth")
-    return (shards.join(F.broadcast(deepest), F.lit(True)).withColumn("first_entry", F.expr("shiftleft(coalesce(cast(conv(shard, 2, 10) as bigint), 0L), global_depth - depth)"))
-            .withColumn("last_entry", F.col("first_entry") + F.pow(F.lit(2), free).cast("long") - 1).withColumn("shard_number", value).drop("shard_number"))
+    first = F.expr("shiftleft(coalesce(cast(conv(shard, 2, 10) as bigint), 0L), global_depth - depth)")
+    free = F.expr("shiftleft(1L, global_depth - depth)")
+    return shards.join(F.broadcast(deepest), F.lit(True)).withColumn("first_entry", first).withColumn("last_entry", F.col("first_entry") + free - 1)
 
 
 def write(assigned: DataFrame, folder: str) -> None:
