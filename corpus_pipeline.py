@@ -4,17 +4,37 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trailweave.llm import catalog, packing
+from trailweave.llm import catalog, dedup, packing, pii, toxicity
 from trailweave.session import materialize
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier takes for toxic go; empty texts are scored like others."""
+    model, _ = toxicity.fit(docs.select("doc_id", "text"), catalog.table(spark, sf_dir, "labels"))
+    return toxicity.clean_only(docs, model)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by at least 80 % shared five-word shingles the smallest doc_id stays; texts without words all stay."""
+    gone = dedup.near_duplicates(docs, 80).where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data becomes its kind in brackets; n_chars counts the new text."""
+    _, model = pii.fit(docs)
+    return pii.redact(docs, model).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left; a row per piece with its ids."""
+    """Pack what is left into sequences of at most 4096 tokens; a row per piece with its ids."""
     return packing.pack(docs, catalog.WORD_FILE)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("packing", pack)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic), ("near duplicates", drop_near_duplicates), ("personal data", redact), ("packing", pack)]
 
 #: Learned models, signatures and packing have no SQL form; the tests compare with brute force.
 ORACLE_SQL = None

@@ -173,6 +173,13 @@ def spans_score(model: Model, kind: Column, cast: Column) -> Column:
     return 1 / (1 + F.exp(-total))
 
 
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Model]:
+    """All candidates as a written table, and the model learned from their votes."""
+    found = materialize(candidates(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))))
+    counted = found.where("kind is not null").groupBy("kind", "votes").count().collect()  # at most kinds x 3^voters rows
+    return found, learn([(r["kind"], r["votes"], r["count"]) for r in counted])
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Model]:
     """Spans (row, doc_id, kind, start, end, base boolean) of all texts and the model; a text without spans has one row of null kind.
 
@@ -180,9 +187,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     strict pattern that pass its rule. Added spans overlap no base span. A null text counts as empty; null and
     repeated doc_ids are told apart by ``row``; other columns are left out.
     """
-    found = materialize(candidates(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))))
-    counted = found.where("kind is not null").groupBy("kind", "votes").count().collect()  # at most kinds x 3^voters rows
-    model = learn([(r["kind"], r["votes"], r["count"]) for r in counted])
+    found, model = fit(docs, id_col, text_col)
     base = (F.col("source") < len(STRICT)) & (F.get("votes", F.lit(0)) == 1)
     scored = found.withColumn("base", F.coalesce(base, F.lit(False))).withColumn("score", spans_score(model, F.col("kind"), F.col("votes")))
     order = Window.partitionBy("row").orderBy("start", "end", "source")

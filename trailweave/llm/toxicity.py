@@ -186,5 +186,15 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     model, voted = fit(docs, labels, **options)
-    value = sigmoid(F.lit(model.intercept) + dot(F.col("votes"), model.weights[:-1]) + log_hits() * model.weights[-1])
-    return voted.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), value.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    scores = voted.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model_score(model).alias("score"))
+    return scores.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def model_score(model: Model) -> Column:
+    """The classifier's score from the columns votes and hits."""
+    return sigmoid(F.lit(model.intercept) + dot(F.col("votes"), model.weights[:-1]) + log_hits() * model.weights[-1])
+
+
+def clean_only(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` (with text) that score below 0.5, with their own columns; rows are judged where they lie."""
+    return vote_columns(docs, model.voters).where(model_score(model) < 0.5).select(*docs.columns)
