@@ -111,8 +111,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2,
             size += offset
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
-                for sequence in packer.add(doc_id, np.frombuffer(ids + end, "<u4")):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for sequence in packer.add(doc_id, np.frombuffer(encoder.encode(text.as_py()) + end, "<u4")):
                     emit(sequence)
                 if size > 1 << 20:
                     yield flush()

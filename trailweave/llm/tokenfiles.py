@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from trailweave.llm.vocab import UnitEncoder
 from trailweave.session import materialize
@@ -43,16 +45,15 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, id_col:
         files, path = place(folder)
         files.create_dir(path)
         part, name = TaskContext.get().partitionId(), f"{path}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
-        encoder = UnitEncoder(tokenizer, keeps_gaps=True)
-        wide = encoder.tokenizer.get_vocab_size() > 1 << 16
-        encoder.dtype = "<u4" if wide else "<u2"
-        end = np.array([end_id], encoder.dtype).tobytes()
+        typecode = "I" if Tokenizer.from_file(tokenizer).get_vocab_size() > 1 << 16 else "H"
+        encoder, end = UnitEncoder(tokenizer, keeps_gaps=True, typecode=typecode), array(typecode, [end_id]).tobytes()
         ids, lengths, stream = [], [], None
         for batch in batches:
             if batch.num_rows and stream is None:
                 stream = files.open_output_stream(f"{name}.bin")
             ids += batch.column(0).to_pylist()
-            for packed in encoder.encode(batch.column(1).to_pylist()):
+            for text in batch.column(1):
+                packed = encoder.encode(text.as_py())
                 stream.write(packed + end)
                 lengths.append((len(packed) + len(end)) // len(end))
         if stream is None:

@@ -7,9 +7,8 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator, Sequence
+from array import array
 
-import numpy as np
 from tokenizers import Tokenizer
 
 GAP = " \t\n\r\f\v"
@@ -20,40 +19,86 @@ WITHOUT_GAP = re.compile(f"[^{GAP}]+")
 #: Other white space, which could be one run with ASCII white space: such texts are encoded whole.
 ODD_GAP = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 
+RARE_GAP = re.compile("[\t\r\f\v\x1c-\x1f]")
+#: Control characters that str.split takes for white space and the tokenizers don't.
+FILE_MARKS = re.compile("[\x1c-\x1f]")
+
+#: Plain units fall into pieces that the splitters take apart in any case: runs of letters, of digits, of marks other than
+#: the apostrophe. Latin letters only, which no version of Unicode classes otherwise.
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", "!-&(-/:-@\\[-`{-~"
+PLAIN = re.compile(f"(?:\n(?=[^{GAP}]))? ?[0-9{LETTERS}{MARKS}]+")
+PIECES = re.compile(f"\n| ?(?:[{LETTERS}]+|[0-9]+|[{MARKS}]+)")
+#: The word file takes each digit by itself.
+WORD_PIECES = re.compile(f"[{LETTERS}]+|[0-9]|[{MARKS}]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter by which byte-level files write each byte: itself if printable in Latin-1, else one from 256 on, in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in printable else next(others)) for b in range(256)}
+
+
+class Pieces(dict):
+    """Ids of pieces, by the library's model alone, as nothing is left to split or normalise in them."""
+
+    def __init__(self, tokenizer: Tokenizer, typecode: str) -> None:
+        super().__init__()
+        self.model, self.typecode, self.letters = tokenizer.model, typecode, byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        written = piece.encode().decode("latin-1").translate(self.letters)
+        ids = self[piece] = array(self.typecode, [token.id for token in self.model.tokenize(written)]).tobytes()
+        return ids
+
+
+class Units(dict):
+    """Ids of units: from the ids of their pieces where a unit is plain, else by the whole library."""
+
+    def __init__(self, tokenizer: Tokenizer, typecode: str, keeps_gaps: bool, before: str = "") -> None:
+        super().__init__()
+        self.tokenizer, self.typecode, self.keeps_gaps, self.before = tokenizer, typecode, keeps_gaps, before
+        self.pieces = Pieces(tokenizer, typecode)
+
+    def __missing__(self, unit: str) -> bytes:
+        text = unit if unit.startswith("\n") else self.before + unit
+        if PLAIN.fullmatch(text):
+            ids = b"".join(map(self.pieces.__getitem__, PIECES.findall(text) if self.keeps_gaps else WORD_PIECES.findall(text.lower())))
+        else:
+            ids = array(self.typecode, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(unit) < 1000:  # longer ones are not worth remembering
+            self[unit] = ids
+        return ids
+
 
 class UnitEncoder:
-    """``keeps_gaps`` says whether white space has ids of its own (byte-level files) or is dropped (word files)."""
+    """``keeps_gaps`` says whether white space and case have ids of their own (byte-level files) or are dropped (word files).
+
+    Both kinds are BPE files over byte letters. The tables start anew when they have ``table_size`` entries.
+    """
 
-    def __init__(self, path: str, keeps_gaps: bool, dtype: str = "<u4", table_size: int = 400_000, slice_chars: int = 2_000_000) -> None:
+    def __init__(self, path: str, keeps_gaps: bool, typecode: str = "I", table_size: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.keeps_gaps, self.dtype, self.table_size, self.slice_chars = keeps_gaps, dtype, table_size, slice_chars
-        self.units = WITH_GAP if keeps_gaps else WITHOUT_GAP
-        self.table: dict[str, bytes] = {}
-
-    def _split(self, text: str) -> list[str]:
-        if self.keeps_gaps and not text.isascii() and ODD_GAP.search(text):
-            return [text]
-        return self.units.findall(text)
-
-    def _slice(self, texts: Sequence[str]) -> list[bytes]:
-        if len(self.table) > self.table_size:
-            self.table.clear()
-        table, split = self.table, [self._split(x) for x in texts]
-        missing = list({u for units in split for u in units if u not in table})
-        for at in range(0, len(missing), 10_000):
-            part = missing[at:at + 10_000]
-            table.update((u, np.array(e.ids, self.dtype).tobytes()) for u, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
-        return [b"".join([table[u] for u in units]) for units in split]
-
-    def encode(self, texts: Sequence[str]) -> Iterator[bytes]:
-        """The ids of each text as packed integers, in slices that bound the memory of the split."""
-        held, chars = [], 0
-        for text in texts:
-            held.append(text)
-            chars += len(text)
-            if chars >= self.slice_chars:
-                yield from self._slice(held)
-                held, chars = [], 0
-        yield from self._slice(held)
+        self.keeps_gaps, self.typecode, self.table_size = keeps_gaps, typecode, table_size
+        self.table = Units(self.tokenizer, typecode, keeps_gaps)
+        self.spaced = Units(self.tokenizer, typecode, keeps_gaps, " ")  # units without the space before them
+        self.spaced.pieces = self.table.pieces
+
+    def encode(self, text: str) -> bytes:
+        """The ids of one text as packed integers (little-endian as on all platforms Spark runs on)."""
+        for known in (self.table, self.spaced, self.table.pieces):
+            if len(known) > self.table_size:
+                known.clear()
+        known = self.table.__getitem__
+        if not self.keeps_gaps:
+            split = WITHOUT_GAP.findall(text) if FILE_MARKS.search(text) else text.split()
+            return b"".join(map(known, split))
+        if not text.isascii() and ODD_GAP.search(text):
+            return array(self.typecode, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        lines = text.replace("\n", " \n")
+        if lines and "  " not in lines and "\n " not in lines and lines[0] != " " and lines[-1] not in " \n" and not RARE_GAP.search(lines):
+            split = lines.split(" ")  # each word but the first has one space or one line end before it
+            return known(split[0]) + b"".join(map(self.spaced.__getitem__, split[1:]))
+        return b"".join(map(known, WITH_GAP.findall(text)))
