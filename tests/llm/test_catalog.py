@@ -1,0 +1,30 @@
+"""Each registered query runs over its whole table and gives the columns agreed on."""
+import duckdb
+import pytest
+
+from check import norm
+from trailweave.llm import catalog
+
+SF = "/root/testdata/sf0.001"
+COLUMNS = {
+    "op1_byte_bpe": "doc_id n_tokens ids_sha256 decoded_sha256", "op2_harmonic_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
+    "op3_line_blocks": "page_id url text n_chars", "op4_weak_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
+    "op5_winnowing": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next", "op6_block_matrix": "query_id rank vec_id score",
+    "op7_superminhash": "doc_id n_shingles component_id kept", "op8_token_files": "doc_id start n_tokens ids_crc32",
+    "op9_extendible_hashing": "doc_id n_bytes shard depth shard_bytes shard_docs", "op10_weak_toxicity": "doc_id held_out score predicted",
+}
+
+
+@pytest.mark.parametrize("name", catalog.QUERIES)
+def test_query(spark, name):
+    df = catalog.QUERIES[name](spark, SF)
+    assert df.columns == COLUMNS[name].split()
+    rows = df.collect()
+    if name in catalog.ORACLES:
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+        assert sorted(tuple(map(norm, r)) for r in rows) == sorted(tuple(map(norm, r)) for r in con.sql(catalog.ORACLES[name]).fetchall())
+    key = "page_id" if "page_id" in df.columns else "doc_id"
+    if key in df.columns:
+        source = catalog.table(spark, SF, "pages" if key == "page_id" else "documents")
+        assert {r[key] for r in rows} == {r[key] for r in source.select(key).collect()}

@@ -50,8 +50,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def mine_voters(train: DataFrame, voters: int, least_docs: int, least_lift: float) -> list[str]:
-    """Beginnings of SHORTEST to LONGEST letters and whole words (marked by a final $) that toxic texts have far more often than clean ones."""
+def mine_voters(train: DataFrame, voters: int, least_gain: float, least_lift: float) -> list[str]:
+    """Beginnings of SHORTEST to LONGEST letters and whole words (marked by a final $) that toxic texts have far more often than clean ones.
+
+    ``least_lift`` is in log-odds, ``least_gain`` in the log-likelihood ratio statistic, so that words seen in a few texts by chance don't vote.
+    """
     words = F.array_distinct(F.filter(F.split(F.lower("text"), WORD_SPLIT), lambda w: F.length(w) >= 2))
     starts = F.flatten(F.transform(words, lambda w: F.concat(F.array(F.concat(w, F.lit("$"))), F.when(F.length(w) < SHORTEST, F.array().cast("array<string>")).otherwise(
         F.transform(F.sequence(F.lit(SHORTEST), F.greatest(F.lit(SHORTEST), F.least(F.length(w), F.lit(LONGEST)))), lambda n: F.substring(w, F.lit(1), n))))))
@@ -59,11 +62,13 @@ def mine_voters(train: DataFrame, voters: int, least_docs: int, least_lift: floa
     toxic, clean = totals["t"] or 0, (totals["n"] or 0) - (totals["t"] or 0)
     if not toxic or not clean:
         return []
-    counts = (train.select("toxic", F.explode(F.array_distinct(starts)).alias("start")).groupBy("start").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-              .where(F.col("t") >= least_docs).withColumn("lift", F.log((F.col("t") + 0.5) / toxic) - F.log((F.col("n") - F.col("t") + 0.5) / clean))
-              .where(F.col("lift") >= least_lift))
+    counts = (train.select("toxic", F.explode(F.array_distinct(starts)).alias("start")).groupBy("start").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).where("t > 0")
+              .withColumn("lift", F.log((F.col("t") + 0.5) / toxic) - F.log((F.col("n") - F.col("t") + 0.5) / clean))
+              .withColumn("gain", 2 * F.col("t") * F.log(F.col("t") / F.col("n") / (toxic / (toxic + clean)))
+                          + 2 * F.when(F.col("n") > F.col("t"), (F.col("n") - F.col("t")) * F.log((F.col("n") - F.col("t")) / F.col("n") / (clean / (toxic + clean)))).otherwise(0.0))
+              .where((F.col("lift") >= least_lift) & (F.col("gain") >= least_gain)))
     # by how much a voter tells; one that begins like a chosen one is taken only if it is much surer, or else says the same again
-    found = counts.orderBy(F.desc(F.col("t") * F.col("lift")), F.desc(F.length("start")), "start").limit(60 * voters).collect()
+    found = counts.orderBy(F.desc("gain"), F.desc(F.length("start")), "start").limit(60 * voters).collect()
     chosen: dict[str, tuple[str, float]] = {}
     for row in found:
         bare = row["start"].rstrip("$")
@@ -145,14 +150,14 @@ def dot(votes: Column, weights: list[float]) -> Column:
     return F.aggregate(votes, F.lit(0.0), lambda total, v: total + F.lit([float(w) for w in weights])[v])
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, voters: int = 80, least_docs: int = 4, least_lift: float = 1.5) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, voters: int = 80, least_gain: float = 24.0, least_lift: float = 1.5) -> tuple[Model, DataFrame]:
     """The model, and a written table (doc_id, votes, hits) of all documents.
 
     ``most`` bounds the labelled rows that voters are mined from and the classifier is fitted on. Votes and the
     label model's sums cover all documents. Without labels of both kinds only the fixed list votes.
     """
     train = materialize(training_rows(docs, labels, most))
-    found = mine_voters(train, voters, least_docs, least_lift)
+    found = mine_voters(train, voters, least_gain, least_lift)
     found += [w for w in INSULTS if not any(w.startswith(v.rstrip("$")) or v.startswith(w) for v in found)]
     voted = materialize(vote_columns(docs, found).select("doc_id", "votes", "hits"))
     width = len(found) + FORMS
