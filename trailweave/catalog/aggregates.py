@@ -15,11 +15,11 @@ def _values(rows):
     return ", ".join("(" + ", ".join(f"{x}" if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
 
 
-_KW = [(i, intent, w) for i, (intent, text) in enumerate(intents.KEYWORDS.items()) for w in intents.split_words(text)]
-_OV = sorted({(w.replace("é", "e").replace("Ã", "a").lower(), intent) for intent, w in intents.pairs(intents.OVERRIDES)})
+_KW = [(i, intent, w) for i, (intent, words) in enumerate(intents.KEYWORDS.items()) for w in words]
+_OV = sorted({(w.replace("é", "e").replace("Ã", "a").lower(), intent) for w, intent in intents.OVERRIDES.items()})
 add_view("v_keywords", f"SELECT * FROM (VALUES {_values(_KW)}) AS t(o, intent, w)")
 add_view("v_overrides", f"SELECT * FROM (VALUES {_values(_OV)}) AS t(w, intent)")
-add_view("v_aliases", f"SELECT * FROM (VALUES {_values(intents.pairs(intents.USER_ALIASES))}) AS t(intent, w)")
+add_view("v_aliases", f"SELECT * FROM (VALUES {_values(intents.IntentTables().aliases)}) AS t(intent, w)")
 add_view("v_names", "SELECT DISTINCT category_name AS name, lower(trim(category_name)) AS t FROM v_poi_categories UNION SELECT DISTINCT token, lower(token) FROM v_pref_tokens WHERE kind = 'category'")
 add_view("v_kw", """
 SELECT name, t, COALESCE(intent, 'inconclusive') AS intent, CASE WHEN n IS NULL THEN CAST(0 AS DOUBLE) ELSE least(1.0, CAST(0.35 AS DOUBLE) + CAST(0.15 AS DOUBLE) * n) END AS conf FROM v_names LEFT JOIN

@@ -387,13 +387,9 @@ def haversine_km(t):
 
 
 @query("norm_text", r"""
-SELECT doc_id, regexp_replace(regexp_replace(strip_accents(lower(trim(txt, ' '))), '[\x{0300}-\x{036F}]', '', 'g'), '[ \t\n\x{0B}\f\r]+', ' ', 'g') AS norm
-FROM (SELECT doc_id, regexp_extract(text, '^[^\n]*') AS txt FROM documents WHERE regexp_full_match(regexp_extract(text, '^[^\n]*'), '[\x{20}-\x{7E}àáâãäåçèéêëìíîïñòóôõöùúûüýÿ]*'))""")
+SELECT doc_id, regexp_replace(regexp_replace(strip_accents(lower(trim(text, ' '))), '[\x{0300}-\x{036F}]', '', 'g'), '[ \t\n\x{0B}\f\r]+', ' ', 'g') AS norm FROM documents""")
 def norm_text(t):
-    first = F.regexp_extract("text", r"^[^\n]*", 0)
-    latin = r"^[\x20-\x7Eàáâãäåçèéêëìíîïñòóôõöùúûüýÿ]*$"
-    rows = t.raw("documents").select("doc_id", first.alias("txt")).where(F.col("txt").rlike(latin))
-    return rows.select("doc_id", text.norm_text(F.col("txt")).alias("norm"))
+    return t.raw("documents").select("doc_id", text.norm_text(F.col("text")).alias("norm"))
 
 
 @query("null_like", """

@@ -247,8 +247,8 @@ def embed_select(t):
 
 
 _ALS = """
-SELECT case_id, poi_id, round(score, 9) AS score FROM (SELECT s.*, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, poi_id) AS rn2 FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, poi_id) AS rn FROM
- (SELECT u.case_id, i.poi_id, round(list_dot_product(u.vec, i.vec), 9) AS score FROM ({u}) u CROSS JOIN v_item_vectors i)) s WHERE rn <= 150 AND NOT EXISTS (SELECT 1 FROM v_uhist h WHERE h.case_id = s.case_id AND h.poi_id = s.poi_id)) WHERE rn2 <= 50"""
+SELECT case_id, poi_id, round(score, 9) AS score FROM (SELECT s.*, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, poi_id) AS rn FROM
+ (SELECT u.case_id, i.poi_id, round(list_dot_product(u.vec, i.vec), 9) AS score FROM ({u}) u CROSS JOIN v_item_vectors i) s WHERE NOT EXISTS (SELECT 1 FROM v_uhist h WHERE h.case_id = s.case_id AND h.poi_id = s.poi_id)) WHERE rn <= 50"""
 
 
 add_view("v_als_known", _ALS.format(u="SELECT c.case_id, v.vec FROM v_ucase c JOIN v_user_vectors v ON v.user_id = c.user_id"))

@@ -4,31 +4,18 @@ A plain window sends a whole group to one task. Here a group that holds an outsi
 the rows is cut into ordered chunks at split points sampled from that group, the window runs
 per (group, chunk), and the few chunk borders are stitched afterwards. The result is the
 same as that of the plain window for any split points; they only decide the layout.
+The plan is the same at every size.
 
-The split table is small by construction: at most ``MAX_HOT_KEYS`` keys and at most
-``MAX_CHUNKS`` split points per key, so it is broadcast.
+The split table has about one point for every ``hot_rows`` rows of hot groups, hence at most some
+(rows / hot_rows) points in all - 200,000 for 10^12 rows - and is broadcast.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-MAX_HOT_KEYS = 512
-MAX_CHUNKS = 1024
 SAMPLES_PER_CHUNK = 16
 # A group below this many rows is sorted by one task without trouble.
 DEFAULT_HOT_ROWS = 5_000_000
-# Inputs below this size cannot hold such a group, so the split step is left out of the plan.
-SMALL_INPUT_BYTES = 1 << 30
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the data a plan reads, summed over its leaves (no job is run)."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def _may_be_hot(df: DataFrame, hot_rows: int | None) -> bool:
-    return hot_rows is not None or plan_bytes(df) > SMALL_INPUT_BYTES
 
 
 def split_points(df: DataFrame, key: list[str], order: list[str], hot_rows: int, sample_mod: int) -> DataFrame:
@@ -39,8 +26,7 @@ def split_points(df: DataFrame, key: list[str], order: list[str], hot_rows: int,
     counts = sampled.groupBy(*key).agg(F.count("*").alias("_m")) if key else sampled.agg(F.count("*").alias("_m"))
     hot = (
         counts.where(F.col("_m") * sample_mod > hot_rows)
-        .orderBy(F.col("_m").desc(), *key).limit(MAX_HOT_KEYS)
-        .withColumn("_c", F.least(F.lit(MAX_CHUNKS), F.ceil(F.col("_m") * sample_mod / hot_rows)).cast("int"))
+        .withColumn("_c", F.ceil(F.col("_m") * sample_mod / hot_rows).cast("int"))
     )
     picked = (
         (sampled.join(F.broadcast(hot), key) if key else sampled.join(F.broadcast(hot), F.lit(True)))
@@ -76,10 +62,6 @@ def lead_values(
     ``values`` maps a source column to the output name; step 2 and beyond get a ``_2`` suffix.
     """
     names = {(c, s): out if s == 1 else f"{out}_{s}" for c, out in values.items() for s in range(1, steps + 1)}
-    if not _may_be_hot(df, hot_rows):
-        w = W.partitionBy(*key).orderBy(*order)
-        return df.withColumns({out: F.lead(c, s).over(w) for (c, s), out in names.items()})
-
     chunked = with_chunks(df, key, order, hot_rows, sample_mod)
     w = W.partitionBy(*key, "_chunk").orderBy(*order)
     row = F.struct(*[F.col(c).alias(c) for c in values])
@@ -106,9 +88,6 @@ def positions(
     hot_rows: int | None = None, sample_mod: int = 64,
 ) -> DataFrame:
     """Add the 1-based position of each row in its group (the whole table when ``key`` is empty)."""
-    if not _may_be_hot(df, hot_rows):
-        w = W.partitionBy(*key).orderBy(*order) if key else W.partitionBy(F.lit(0)).orderBy(*order)
-        return df.withColumn(out, F.row_number().over(w).cast("long"))
     chunked = with_chunks(df, key, order, hot_rows, sample_mod)
     sizes = chunked.groupBy(*key, "_chunk").agg(F.count("*").alias("_rows"))
     before = W.partitionBy(*(key or [F.lit(0)])).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
@@ -143,10 +122,7 @@ def exact_quantiles(df: DataFrame, column: str, qs: dict[str, float], hot_rows:
 
 
 def running_total(df: DataFrame, order: list[str], value: str, out: str, hot_rows: int | None = None, sample_mod: int = 64) -> DataFrame:
-    """Inclusive running sum over the whole table, chunked when the table is large."""
-    if not _may_be_hot(df, hot_rows):
-        w = W.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-        return df.withColumn(out, F.sum(value).over(w))
+    """Inclusive running sum over the whole table."""
     chunked = with_chunks(df, [], order, hot_rows, sample_mod)
     sums = chunked.groupBy("_chunk").agg(F.sum(value).alias("_sum"))
     before = W.partitionBy(F.lit(0)).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)

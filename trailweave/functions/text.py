@@ -1,11 +1,11 @@
 """Text column helpers."""
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import unicodedata
 
-# Latin letters with diacritics and their base letters, lower case.
-ACCENTED = "àáâãäåāăąçćčďèéêëēěęğìíîïīıñńňòóôõöōőřśşšťùúûüūůűýÿžźż"
-PLAIN = "aaaaaaaaacccdeeeeeeegiiiiiınnnooooooorssstuuuuuuuyyzzz"
+import pandas as pd
+from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 # Id prefixes that are removed, in this order, and texts that mean "no value".
 ID_PREFIXES = ("foursquare:", "schema:", "wd:")
@@ -28,11 +28,17 @@ def clean_id(c: Column, prefix: str = "foursquare:") -> Column:
     return F.when(trimmed != "", strip_prefix(trimmed, prefix))
 
 
+@F.pandas_udf(StringType())
+def _without_marks(texts: pd.Series) -> pd.Series:
+    """Compatibility decomposition without combining marks; the JVM's functions have none."""
+    return texts.map(lambda t: None if t is None else "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x)))
+
+
 def norm_text(c: Column) -> Column:
-    """Trim, lower-case, drop diacritics, collapse blanks."""
+    """Trim, lower-case, decompose (NFKD), drop diacritics, collapse blanks. Only texts beyond ASCII are passed to Python."""
     lowered = F.lower(F.trim(c))
-    plain = F.regexp_replace(F.translate(lowered, ACCENTED, PLAIN), "[̀-ͯ]", "")
-    return F.regexp_replace(plain, r"\s+", " ")
+    odd = F.when(lowered.rlike(r"[^\x00-\x7F]"), lowered)
+    return F.regexp_replace(F.coalesce(_without_marks(odd), lowered), r"\s+", " ")
 
 
 def null_like(c: Column) -> Column:

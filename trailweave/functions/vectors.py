@@ -26,12 +26,13 @@ def top_items(
     """(case_id, poi_id, score, rank): the n best items per query by cosine or dot product.
 
     ``queries`` is (case_id, vec), ``items`` is (poi_id, vec). Block counts come from row
-    counts unless given.
+    counts unless given. A column ``more`` of the queries asks for that many more than n each.
     """
+    queries = queries.withColumn("want", F.lit(n) + (F.col("more") if "more" in queries.columns else F.lit(0)))
     nq = query_blocks or _blocks(queries, block_rows)
     ni = item_blocks or _blocks(items, block_rows)
     q = queries.where("vec IS NOT NULL").select(
-        "case_id", "vec", F.pmod(F.xxhash64("case_id"), F.lit(nq)).cast("int").alias("qb"),
+        "case_id", "vec", "want", F.pmod(F.xxhash64("case_id"), F.lit(nq)).cast("int").alias("qb"),
         F.explode(F.sequence(F.lit(0), F.lit(ni - 1))).alias("ib"))
     i = items.select(
         F.col("poi_id").alias("poi_id"), F.col("vec").alias("item_vec"), F.pmod(F.xxhash64("poi_id"), F.lit(ni)).cast("int").alias("ib"),
@@ -40,23 +41,26 @@ def top_items(
 
     def multiply(qs: pd.DataFrame, its: pd.DataFrame) -> pd.DataFrame:
         if qs.empty or its.empty:
-            return pd.DataFrame({"case_id": pd.Series(dtype="int64"), "poi_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+            return pd.DataFrame({"case_id": pd.Series(dtype="int64"), "poi_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64"), "want": pd.Series(dtype="int64")})
         its = its.sort_values("poi_id")
         a, b = np.vstack(qs["vec"].to_numpy()), np.vstack(its["item_vec"].to_numpy())
         if cosine:
             a = a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
             b = b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)
         scores = np.round(a @ b.T, 9)
-        keep = min(n, b.shape[0])
+        want = qs["want"].to_numpy()
+        keep = min(int(want.max()), b.shape[0])
         # stable sort on the negated score: equal scores stay in id order
         order = np.argsort(-scores, axis=1, kind="stable")[:, :keep]
+        asked = (np.arange(keep) < want[:, None]).ravel()
         return pd.DataFrame({
             "case_id": np.repeat(qs["case_id"].to_numpy(), keep),
             "poi_id": its["poi_id"].to_numpy()[order].ravel(),
-            "score": np.take_along_axis(scores, order, axis=1).ravel()})
+            "score": np.take_along_axis(scores, order, axis=1).ravel(),
+            "want": np.repeat(want, keep)})[asked]
 
-    best = q.groupBy("qb", "ib").cogroup(i.groupBy("qb", "ib")).applyInPandas(multiply, "case_id long, poi_id long, score double")
-    return top_per_group(best.withColumn("score", r9("score")), ["case_id"], by_score(), n)
+    best = q.groupBy("qb", "ib").cogroup(i.groupBy("qb", "ib")).applyInPandas(multiply, "case_id long, poi_id long, score double, want long")
+    return top_per_group(best.withColumn("score", r9("score")), ["case_id"], by_score(), "want").drop("want")
 
 
 def mean_vectors(rows: DataFrame, key: str, weight: str | None = None, unit: bool = False) -> DataFrame:

@@ -12,7 +12,6 @@ from trailweave.functions.numeric import attach, by_score, draw, r9, top_per_gro
 from trailweave.functions.geo import radius_join
 from trailweave.functions.sequence import positions
 from trailweave.functions.vectors import mean_vectors, top_items
-from trailweave.operators.features import tfidf_by_signature
 
 # POIs of one class handed out per join key when classes are expanded to POIs.
 CLASS_BLOCK = 64
@@ -230,19 +229,18 @@ def similar_pois(items: DataFrame, vectors: DataFrame, topn: int = 20) -> DataFr
     return top_per_group(best, ["case_id"], by_score(), topn)
 
 
-def _neighbours(queries: DataFrame, context: DataFrame, vectors: DataFrame, topn: int, largest_context: int) -> DataFrame:
-    best = top_items(queries, vectors, topn + largest_context).drop("rank")
-    return top_per_group(exclude(best, context), ["case_id"], by_score(), topn).drop("rank")
+def _unseen_items(queries: DataFrame, seen: DataFrame, vectors: DataFrame, topn: int, metric: str = "cosine") -> DataFrame:
+    """The best ``topn`` items per query without its seen ones: each query asks for as many more as it has seen."""
+    seen = seen.select("case_id", "poi_id").distinct()
+    sized = queries.join(seen.groupBy("case_id").agg(F.count("*").alias("more")), "case_id", "left").fillna(0, ["more"])
+    best = top_items(sized, vectors, topn, metric).drop("rank")
+    return top_per_group(exclude(best, seen), ["case_id"], by_score(), topn).drop("rank")
 
 
-def embed_context(context: DataFrame, vectors: DataFrame, topn: int = 50, largest_context: int = 8) -> DataFrame:
-    """Neighbours of the mean unit vector of the context items (case_id, poi_id), context left out.
-
-    ``largest_context`` bounds the context size: that many more neighbours are taken so that
-    leaving the context out cannot shorten the list.
-    """
+def embed_context(context: DataFrame, vectors: DataFrame, topn: int = 50) -> DataFrame:
+    """Neighbours of the mean unit vector of the context items (case_id, poi_id), context left out."""
     rows = context.join(vectors, "poi_id")
-    return _neighbours(mean_vectors(rows, "case_id", unit=True), context, vectors, topn, largest_context)
+    return _unseen_items(mean_vectors(rows, "case_id", unit=True), context, vectors, topn)
 
 
 def embed_next(cases: DataFrame, vectors: DataFrame, topn: int = 50, recent: DataFrame | None = None) -> DataFrame:
@@ -257,7 +255,7 @@ def embed_next(cases: DataFrame, vectors: DataFrame, topn: int = 50, recent: Dat
         unknown = cur.join(known, "poi_id", "left_anti").select("case_id")
         back = recent.join(unknown, "case_id").join(known, "poi_id", "left_semi")
         context = context.unionByName(top_per_group(back, ["case_id"], [F.col("pos").desc()], 3).select("case_id", "poi_id"))
-    return embed_context(context.select("case_id", "poi_id"), vectors, topn, 4)
+    return embed_context(context.select("case_id", "poi_id"), vectors, topn)
 
 
 def embed_history(history: DataFrame, vectors: DataFrame, topn: int = 20) -> DataFrame:
@@ -287,15 +285,14 @@ def embed_select(cases: DataFrame, context: DataFrame, history: DataFrame, vecto
 
 
 def als_score(cases: DataFrame, history: DataFrame, user_vectors: DataFrame, item_vectors: DataFrame, topn: int = 500) -> DataFrame:
-    """Dot product of item factors with the user vector, unseen items, best ``topn`` of a 3n pool.
+    """Dot product of item factors with the user vector, best ``topn`` unseen items.
 
     A user without a vector gets the visit-weighted mean of the factors of visited items.
     """
     known = cases.join(user_vectors, "user_id").select("case_id", "vec")
     cold = cases.join(user_vectors.select("user_id"), "user_id", "left_anti").select("case_id")
     mean = mean_vectors(history.join(cold, "case_id", "left_semi").join(item_vectors, "poi_id"), "case_id", "n")
-    pool = top_items(known.unionByName(mean), item_vectors, 3 * topn, "dot").drop("rank")
-    return top_per_group(exclude(pool, history), ["case_id"], by_score(), topn).drop("rank")
+    return _unseen_items(known.unionByName(mean), history, item_vectors, topn, "dot")
 
 
 # ---------------------------------------------------------------- baselines
@@ -392,8 +389,3 @@ def train_als(interactions: DataFrame, rank: int = 64, reg: float = 0.01, iterat
     u = model.userFactors.join(users, F.col("id") == F.col("_u")).select("user_id", F.col("features").cast("array<double>").alias("vec"))
     i = model.itemFactors.join(items, F.col("id") == F.col("_i")).select("poi_id", F.col("features").cast("array<double>").alias("vec"))
     return u, i
-
-
-def content_vectors(cats: DataFrame, pois: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Signature vectors and POI-to-signature map for POIs that carry a scope."""
-    return tfidf_by_signature(cats, pois)

@@ -112,9 +112,11 @@ def minmax_norm(df: DataFrame, keys: list[str], score: str = "score", out: str =
     return rows.withColumn(out, F.when(spread <= 1e-12, 0.0).otherwise((s - F.col("_lo")) / spread)).drop("_lo", "_hi")
 
 
-def blend_routes(parts: DataFrame, weights: DataFrame, k: Column | int) -> DataFrame:
+def blend_routes(parts: DataFrame, weights: DataFrame, k: DataFrame | int) -> DataFrame:
     """(req_id, poi_id, score, rank): weighted sum of per-variant normalised scores, best k.
 
+    ``k`` is a number or a table (req_id, size).
+
     ``parts`` is (req_id, variant, poi_id, score), ``weights`` is (req_id, variant, weight).
     """
     rows = parts.join(weights.where("weight > 0"), ["req_id", "variant"])
@@ -122,4 +124,4 @@ def blend_routes(parts: DataFrame, weights: DataFrame, k: Column | int) -> DataF
     summed = normed.groupBy("req_id", "poi_id").agg(r9(F.sum(F.col("weight") * F.col("norm"))).alias("score"))
     if isinstance(k, int):
         return top_per_group(summed, ["req_id"], by_score(), k)
-    return top_per_group(summed.withColumn("_k", k), ["req_id"], by_score(), "_k").drop("_k")
+    return top_per_group(summed.join(k, "req_id"), ["req_id"], by_score(), "size").drop("size")

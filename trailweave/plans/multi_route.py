@@ -101,8 +101,8 @@ def build_multi_routes(requests: DataFrame, f: rec.Features, p: MultiRouteParams
     parts = materialize(parts)
 
     several = parts.groupBy("req_id").agg(F.countDistinct("variant").alias("_v")).where("_v >= 2").select("req_id")
-    size = sig.select("req_id", variants.full_pool_size(F.col("k")).alias("_pool"))
-    blend = fusion.blend_routes(parts.join(several, "req_id", "left_semi").join(size, "req_id"), variants.variant_weights(sig), F.lit(400)).join(size, "req_id").where("rank <= _pool")
+    size = sig.select("req_id", variants.full_pool_size(F.col("k")).alias("size"))
+    blend = fusion.blend_routes(parts.join(several, "req_id", "left_semi"), variants.variant_weights(sig), size)
     pool = blend.select("req_id", "rank", "poi_id", "score").unionByName(of("full").join(several, "req_id", "left_anti"))
     pool = materialize(pool.join(f.pois.select("poi_id", "lat", "lon"), "poi_id").join(sig.select("req_id", "k"), "req_id"))
     full = variants.soft_surprise(pool.where("rank <= k").drop("k"), pool.drop("k"), sig, asked, named.select("poi_id", "intent"), p.surprise)

@@ -31,11 +31,15 @@ def trial_array(trials: list[dict]) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("trial"), *[F.lit(v).alias(k) for k, v in t.items()]) for i, t in enumerate(trials)])
 
 
-def sample(c: Cases, n: int | None, seed: int = 42) -> Cases:
-    """A seeded sample of the cases, with the rows that belong to them."""
+def sample(c: Cases, n: int | None, seed: int = 42, per: str | None = None) -> Cases:
+    """A seeded sample of n cases (of each value of ``per``, a column of the cases), with the rows that belong to them."""
     if n is None:
         return c
-    keep = materialize(splits.sample_cases(c.cases.select("case_id"), "case_id", seed, n).select("case_id"))
+    if per:
+        drawn = splits.sample_cases(c.cases.select("case_id", per), "case_id", seed, None)
+        keep = materialize(top_per_group(drawn, [per], [F.col("draw"), F.col("case_id")], n).select("case_id"))
+    else:
+        keep = materialize(splits.sample_cases(c.cases.select("case_id"), "case_id", seed, n).select("case_id"))
     cut = lambda df: df.join(keep, "case_id", "left_semi")
     return Cases(cut(c.cases), cut(c.history), cut(c.seen), cut(c.truth), c.all_cases).materialize()
 

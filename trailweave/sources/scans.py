@@ -22,9 +22,16 @@ def read_checkins_csv(spark: SparkSession, path: str, columns: list[str] | None
     return df.select(*columns) if columns else df
 
 
-def read_poi_json(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of POI objects, whether a line holds one object or a list; other values are dropped."""
-    return spark.read.schema(RAW_POI_SCHEMA).option("mode", "DROPMALFORMED").json(path)
+def read_poi_json(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """Rows of POI objects; other values are dropped and a missing path gives no rows.
+
+    By default a line holds one object or a list. With ``whole_files`` a file holds one object or list over any number
+    of lines; such files can't be split, so each should fit a task.
+    """
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+        return spark.createDataFrame([], RAW_POI_SCHEMA)
+    return spark.read.schema(RAW_POI_SCHEMA).option("mode", "DROPMALFORMED").option("multiLine", whole_files).json(path)
 
 
 def load_visits(visits: DataFrame, city: str | None = None, limit: int | None = None) -> DataFrame:
