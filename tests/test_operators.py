@@ -272,3 +272,35 @@ def test_popular_and_random_leave_out_seen(spark):
     assert pop == [(1, 19), (1, 24), (1, 29), (2, 29), (2, 28)]
     rnd = eng.random_baseline(cases, seen, pois, 5).collect()
     assert sum(r.case_id == 1 for r in rnd) == 5 and {r.poi_id for r in rnd if r.case_id == 2} == {28, 29}
+
+
+def test_poi_json_of_either_layout_and_missing_files(spark, tmp_path):
+    from trailweave.sources import scans
+
+    (tmp_path / "lines.json").write_text('{"fsq_id": "a"}\n[{"fsq_id": "b"}, {"fsq_id": "c"}]\n42\n')
+    (tmp_path / "pretty.json").write_text('[\n  {"fsq_id": "d"},\n  {\n    "fsq_id": "e"\n  }\n]\n')
+    ids = lambda name, whole: sorted(r.fsq_id for r in scans.read_poi_json(spark, str(tmp_path / name), whole).select("fsq_id").where("fsq_id is not null").collect())
+    assert ids("lines.json", False) == ["a", "b", "c"]
+    assert ids("pretty.json", True) == ["d", "e"]
+    assert ids("absent.json", False) == []
+
+
+def test_norm_text_decomposes_compatibility_letters(spark):
+    from trailweave.functions.text import norm_text
+
+    rows = spark.createDataFrame([(" Ｃafé  ﬁn\tÅ ",), ("plain  A",), (None,), ("",)], "t string")
+    assert [r.n for r in rows.select(norm_text(rows.t).alias("n")).collect()] == ["cafe fin a", "plain a", None, ""]
+
+
+def test_lists_are_full_however_much_was_seen(spark):
+    import numpy as np
+
+    from trailweave.operators import engines
+
+    rng = np.random.default_rng(4)
+    items = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(60)], "poi_id long, vec array<double>")
+    users = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0])], "user_id long, vec array<double>")
+    cases = spark.createDataFrame([(7, 1)], "case_id long, user_id long")
+    seen = spark.createDataFrame([(7, i, 1) for i in range(50)], "case_id long, poi_id long, n long")
+    assert engines.als_score(cases, seen, users, items, 10).count() == 10
+    assert engines.embed_context(seen.select("case_id", "poi_id"), items, 10).count() == 10

@@ -186,12 +186,16 @@ def _saved_routes(t):
 _SAVED = "SELECT o_orderkey AS route_id, o_custkey AS user_id, 'C' || CAST(o_custkey % 3 + 1 AS VARCHAR) AS city_id, lower(o_orderstatus) AS route_type, o_orderdate AS created_at FROM orders"
 
 
-@query("saved_routes_append")
+@query("saved_routes_append", f"""
+SELECT user_id, city_id, route_type, payload, count(*) AS n_rows, count(*) AS n_ids FROM
+ (SELECT user_id, city_id, route_type, '{{"route_id":' || CAST(route_id AS VARCHAR) || ',"route_type":"' || route_type || '"}}' AS payload FROM ({_SAVED})) GROUP BY ALL""")
 def saved_routes_append(t):
+    """Ids and times are generated, so the rows are counted by what was given, with their distinct ids and those that have a time."""
     path = scratch_dir(t.spark) + "/saved"
     rows = _saved_routes(t).select("user_id", "city_id", "route_type", F.to_json(F.struct("route_id", "route_type")).alias("payload"))
     scans.append(scans.new_saved_routes(rows), path)
-    return t.spark.read.parquet(path)
+    return t.spark.read.parquet(path).where("created_at is not null").groupBy("user_id", "city_id", "route_type", "payload").agg(
+        F.count("*").alias("n_rows"), F.count_distinct("route_id").alias("n_ids"))
 
 
 @query("saved_routes_list", f"""

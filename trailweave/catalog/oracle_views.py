@@ -92,7 +92,8 @@ def with_views(sql: str) -> str:
 
     visit(sql)
     recursive = any("RECURSIVE" in VIEWS[n] for n in needed)
-    ctes = ",\n".join(f"{n} AS ({VIEWS[n].replace('/*RECURSIVE*/', '')})" for n in needed)
+    # worked out once each, however often later views mention them
+    ctes = ",\n".join(f"{n} AS {'' if 'RECURSIVE' in VIEWS[n] else 'MATERIALIZED '}({VIEWS[n].replace('/*RECURSIVE*/', '')})" for n in needed)
     body = sql.strip()
     if body.upper().startswith("WITH RECURSIVE"):
         recursive, body = True, body[len("WITH RECURSIVE"):].strip()
