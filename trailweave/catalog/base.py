@@ -29,7 +29,7 @@ SELECT CASE WHEN poi_id % 3 <> 0 THEN 'foursquare:' || CAST(poi_id AS VARCHAR) E
   CASE WHEN poi_id % 3 = 0 THEN 'foursquare:' || CAST(poi_id AS VARCHAR) END AS fsq_place_id,
   CASE WHEN poi_id % 2 = 0 THEN round(lat, 6) END AS latitude, round(CASE WHEN poi_id % 2 = 1 THEN lat END, 6) AS main_latitude,
   CAST(1 AS BIGINT) AS n_categories
-FROM v_pois WHERE lat IS NOT NULL""")
+FROM v_pois""")
 def scan_poi_json(t):
     path = scratch_dir(t.spark) + "/pois"
     listed = F.col("poi_id") % 2 == 0

@@ -59,7 +59,7 @@ SELECT 'foursquare:' || CAST(poi_id AS VARCHAR) AS fsq_id,
   CASE WHEN poi_id % 5 IN (1, 2) THEN CAST(total_ratings AS DOUBLE) END AS total_ratings,
   CASE WHEN poi_id % 4 IN (0, 2) THEN CAST(poi_id % 5 AS DOUBLE) END AS price,
   CASE WHEN poi_id % 11 <> 0 THEN primary_category END AS primary_category, CASE WHEN poi_id % 11 <> 0 THEN 1 ELSE 0 END AS n_categories
-FROM v_pois WHERE lat IS NOT NULL""")
+FROM v_pois""")
 
 
 def _norm(t):
@@ -121,7 +121,7 @@ def safe_int(t):
 
 
 @query("keep_valid_pois", """
-SELECT fsq_id, COALESCE(NULLIF(trim(city), ''), 'Osaka') AS city, COALESCE(country, 'Japan') AS country FROM v_norm_pois WHERE n_categories > 0""")
+SELECT fsq_id, COALESCE(NULLIF(trim(city), ''), 'Osaka') AS city, COALESCE(country, 'Japan') AS country FROM v_norm_pois WHERE n_categories > 0 AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180""")
 def keep_valid_pois(t):
     return cleaning.keep_valid_pois(_norm(t), "Osaka", "Japan").select("fsq_id", "city", "country")
 

@@ -106,8 +106,8 @@ class Tables:
 
     @cached_property
     def raw_pois(self) -> DataFrame:
-        """Nested vendor documents as JSON text, two shapes mixed."""
-        p = self.pois.where(F.col("lat").isNotNull())
+        """Nested vendor documents as JSON text, two shapes mixed; some have no coordinates."""
+        p = self.pois
         pid = F.col("poi_id").cast("string")
         s = F.concat
         key = F.when(F.col("poi_id") % 3 == 0, "fsq_place_id").otherwise("fsq_id")
@@ -116,6 +116,7 @@ class Tables:
             s(F.lit('"latitude":'), F.col("lat").cast("string"), F.lit(',"longitude":'), F.col("lon").cast("string")),
         ).otherwise(s(F.lit('"geocodes":{"main":{"latitude":'), F.col("lat").cast("string"), F.lit(',"longitude":'),
                       F.col("lon").cast("string"), F.lit("}}")))
+        coords = F.coalesce(coords, F.lit('"latitude":null'))
         cat_id = F.when(F.col("poi_id") % 11 == 0, "").otherwise("x")
         name = F.when(F.col("poi_id") % 4 == 1, s(F.lit(',"name":"n'), pid, F.lit('"'))).otherwise("")
         loc = F.when(F.col("poi_id") % 6 == 1, s(F.lit(',"location":{"locality":"'), F.col("city_id"),
@@ -126,8 +127,8 @@ class Tables:
                  .when(F.col("poi_id") % 4 == 2, s(F.lit(',"price":'), (F.col("poi_id") % 5).cast("string"))).otherwise(""))
         return p.select("poi_id", s(
             F.lit('{"'), key, F.lit('":"foursquare:'), pid, F.lit('",'), coords,
-            F.lit(',"categories":[{"id":"'), cat_id, F.lit('","name":"'), F.col("primary_category"), F.lit('"}]'),
-            name, loc, stats, price, F.lit("}")).alias("doc"))
+            F.lit(',"categories":[{"id":"'), cat_id, F.lit('","name":"'), F.coalesce("primary_category", F.lit("")), F.lit('"}]'),
+            name, F.coalesce(loc, F.lit("")), F.coalesce(stats, F.lit("")), price, F.lit("}")).alias("doc"))
 
     @cached_property
     def price_labels(self) -> DataFrame:
