@@ -129,10 +129,12 @@ def test_toxicity_on_held_out_labels(spark):
 
 def test_toxicity_edge_rows(spark, rows):
     schema = "doc_id long, text string, score string"
-    docs = rows([(1, "You idiot, you MORON"), (2, "a fine day"), (2, "a fine day"), (3, None), (4, ""), (None, "x"), (6, "fool " * 30000)], schema)
+    texts = [(1, "You idiot, you MORON"), (2, "a fine day"), (2, "a fine day"), (3, None), (4, ""), (None, "x"), (6, "word " * 30000)]
+    docs = rows([(k, t, "clash") for k, t in texts], schema)
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.score(docs, none).collect()
     assert len(got) == 7 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    assert {r.doc_id for r in got if r.predicted} == {1}
     odd = spark.createDataFrame([(1, None), (None, 1), (2, 5)], "doc_id long, toxic int")
     assert toxicity.score(docs, odd).count() == 7
     assert toxicity.score(docs.where("false"), none).count() == 0

@@ -114,8 +114,8 @@ def label_model(patterns: DataFrame, width: int, rounds: int = 8) -> tuple[np.nd
     """
     free = F.col("texts") - F.col("toxic") - F.col("clean")
     totals = patterns.agg(F.sum("texts").alias("texts"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).first()
-    mean = (totals["toxic"] + 1) / (totals["toxic"] + totals["clean"] + 2)
-    post = F.when(F.col("toxic") + F.col("clean") > 0, (F.col("toxic") + mean) / (F.col("toxic") + F.col("clean") + 1)).when(F.size("votes") > 0, 0.5).otherwise(mean)
+    mean = (totals["toxic"] + 0.05) / (totals["toxic"] + totals["clean"] + 1)
+    post = F.when(F.col("toxic") + F.col("clean") > 0, (F.col("toxic") + mean) / (F.col("toxic") + F.col("clean") + 1)).when(F.exists("votes", lambda v: v < width - FORMS), 0.5).otherwise(mean)
     discount = np.ones(width)
     weights, intercept = np.zeros(width), 0.0
     for step in range(rounds):
