@@ -271,12 +271,12 @@ def als_score_cold(t):
 
 @query("word2vec_train")
 def word2vec_train(t):
-    return eng.train_word2vec(tr.trail_sequences(t.visits), size=32, window=12, epochs=1, seed=42)
+    return eng.train_word2vec(tr.trail_sequences(t.visits))
 
 
 @query("als_train")
 def als_train(t):
-    users, items = eng.train_als(features.interactions(t.visits), rank=16, iterations=5)
+    users, items = eng.train_als(features.interactions(t.visits))
     return users.select(F.lit("user").alias("side"), F.col("user_id").alias("id"), "vec").unionByName(items.select(F.lit("item").alias("side"), F.col("poi_id").alias("id"), "vec"))
 
 

@@ -12,6 +12,7 @@ from trailweave.functions.numeric import attach, by_score, draw, r9, top_per_gro
 from trailweave.functions.geo import radius_join
 from trailweave.functions.sequence import positions
 from trailweave.functions.vectors import mean_vectors, top_items
+from trailweave.session import materialize
 
 # POIs of one class handed out per join key when classes are expanded to POIs.
 CLASS_BLOCK = 64
@@ -363,11 +364,17 @@ def snap_to_poi(anchors: DataFrame, pois: DataFrame, counts: DataFrame, radius_k
 
 # ---------------------------------------------------------------- learned models
 
-def train_word2vec(sequences: DataFrame, size: int = 300, window: int = 12, min_count: int = 1, epochs: int = 40, seed: int = 42, partitions: int = 1) -> DataFrame:
-    """(poi_id, vec) from trail sequences (column ``venues``), skip-gram with hierarchical softmax."""
+def train_word2vec(sequences: DataFrame, size: int = 300, window: int = 12, min_count: int = 1, epochs: int = 40, seed: int = 42, partitions: int | None = None) -> DataFrame:
+    """(poi_id, vec) from trail sequences (column ``venues``), skip-gram with hierarchical softmax.
+
+    Sentences are trained in ``partitions`` tasks, as many as the sequences have partitions when it is None.
+    """
     from pyspark.ml.feature import Word2Vec
 
     text = sequences.select(F.col("venues").cast("array<string>").alias("venues"))
+    if partitions is None:
+        text = materialize(text)
+        partitions = max(1, text.rdd.getNumPartitions())
     model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, maxIter=epochs, seed=seed, numPartitions=partitions,
                      inputCol="venues", outputCol="v").fit(text)
     from pyspark.ml.functions import vector_to_array
