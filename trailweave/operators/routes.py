@@ -98,6 +98,8 @@ def gather(rows: DataFrame, keys: list[str], order: str, columns: list[str], onc
     return packed.select(*keys, *once, *[F.col(f"_s.{c}").alias(c) for c in columns])
 
 
+# Routes a task holds before it hands them on.
+PLANNED_AT_ONCE = 5000
 STOP_SCHEMA = "step long, poi_id long, lat double, lon double, primary_category string, score double, leg_km double"
 
 
@@ -107,10 +109,12 @@ def plan_route(cands: DataFrame, p: PlannerParams | None = None, keys: list[str]
     ``cands`` is (keys..., poi_id, score, lat, lon, primary_category) and, when routes have a
     start, a_lat / a_lon; an optional column k holds the length per group. The pool of best
     candidates is cut by a group-limited rank before anything is gathered. ``grid`` maps the
-    value of the first key to its own parameters.
+    values of the first key to their own parameters: ``cands`` has no such column then, every
+    group is gathered once and planned with each of them.
     """
     p = p or PlannerParams()
     keys = keys or ["case_id"]
+    groups = keys[1:] if grid else keys
     pool = max([p.candidate_pool] + [q.candidate_pool for q in (grid or {}).values()])
     rows = cands.where("lat IS NOT NULL AND lon IS NOT NULL AND score IS NOT NULL")
     for c, t in (("a_lat", "double"), ("a_lon", "double"), ("k", "int")):
@@ -118,25 +122,32 @@ def plan_route(cands: DataFrame, p: PlannerParams | None = None, keys: list[str]
             rows = rows.withColumn(c, F.lit(None).cast(t))
     cols = ["poi_id", "score", "lat", "lon", "primary_category"]
     rows = rows.withColumn("primary_category", F.coalesce("primary_category", F.lit("")))
-    top = top_per_group(rows.select(*keys, *cols, "a_lat", "a_lon", "k"), keys, by_score(), pool, "_rank")
-    packed = gather(top, keys, "_rank", cols, ["a_lat", "a_lon", "k"])
-    types = dict(top.dtypes)
+    top = top_per_group(rows.select(*groups, *cols, "a_lat", "a_lon", "k"), groups, by_score(), pool, "_rank")
+    packed = gather(top, groups, "_rank", cols, ["a_lat", "a_lon", "k"])
+    types = dict(top.dtypes) | ({keys[0]: "int"} if grid else {})
+    names = [*keys, "step", "poi_id", "lat", "lon", "primary_category", "score", "leg_km"]
     schema = ", ".join(f"{c} {types[c]}" for c in keys) + ", " + STOP_SCHEMA
 
     def plan(batches):
         for pdf in batches:
             parts = []
             for row in pdf.itertuples(index=False):
-                q = grid[getattr(row, keys[0])] if grid else p
-                n = min(q.candidate_pool, len(row.poi_id))
-                arr = {c: np.asarray(getattr(row, c)[:n]) for c in cols}
+                arr = {c: np.asarray(getattr(row, c)) for c in cols}
+                lat, lon, score = (arr[c].astype(float) for c in ("lat", "lon", "score"))
                 anchor = None if pd.isna(row.a_lat) or pd.isna(row.a_lon) else (float(row.a_lat), float(row.a_lon))
                 codes = np.unique(arr["primary_category"].astype(str), return_inverse=True)[1]
-                k = q.k if pd.isna(row.k) else int(row.k)
-                picked, legs = greedy_stops(arr["lat"].astype(float), arr["lon"].astype(float), arr["score"].astype(float), codes, k, anchor, q)
-                parts.append({**{c: [getattr(row, c)] * len(picked) for c in keys}, "step": range(1, len(picked) + 1),
-                              **{c: arr[c][picked] for c in cols}, "leg_km": legs})
-            yield _stack(parts, [*keys, "step", "poi_id", "lat", "lon", "primary_category", "score", "leg_km"])
+                for value, q in grid.items() if grid else [(None, p)]:
+                    n = min(q.candidate_pool, len(score))
+                    k = q.k if pd.isna(row.k) else int(row.k)
+                    picked, legs = greedy_stops(lat[:n], lon[:n], score[:n], codes[:n], k, anchor, q)
+                    first = {keys[0]: [value] * len(picked)} if grid else {}
+                    parts.append({**first, **{c: [getattr(row, c)] * len(picked) for c in groups}, "step": range(1, len(picked) + 1),
+                                  **{c: arr[c][picked] for c in cols}, "leg_km": legs})
+                if len(parts) >= PLANNED_AT_ONCE:
+                    yield _stack(parts, names)
+                    parts = []
+            if parts:
+                yield _stack(parts, names)
 
     planned = packed.mapInPandas(plan, schema)
     return planned.withColumn("leg_km", F.when(~F.isnan("leg_km"), F.col("leg_km")))

@@ -93,7 +93,7 @@ def sweep_embed_score(c: Cases, train: DataFrame, pois: DataFrame, vectors: Data
     near = None
     for n in g["context_n"]:
         ctx = tr.last_n_rows(recent, c.cases.select("case_id", "current_poi"), n).select("case_id", "poi_id")
-        one = eng.embed_context(ctx, vectors, max(g["topn"]), n).withColumn("context_n", F.lit(n))
+        one = eng.embed_context(ctx, vectors, max(g["topn"])).withColumn("context_n", F.lit(n))
         near = one if near is None else near.unionByName(one)
     near = near.withColumn("_rank", F.row_number().over(_by_case("context_n")))
     rows = near.select("case_id", "poi_id", "score", F.col("context_n").alias("_c"), "_rank", F.explode(trial_array(trials)).alias("t")).where(
@@ -109,7 +109,7 @@ def _by_case(extra: str):
     return W.partitionBy("case_id", extra).orderBy(F.col("score").desc(), "poi_id")
 
 
-def sweep_als(c: Cases, train: DataFrame, pois: DataFrame, k: int = 20, grid: dict | None = None, max_trials: int = 4, topn: int = 1200) -> DataFrame:
+def sweep_als(c: Cases, train: DataFrame, pois: DataFrame, k: int = 20, grid: dict | None = None, max_trials: int | None = None, topn: int = 1200) -> DataFrame:
     """One row per ALS setting; models are fitted one after the other, scored and measured together."""
     trials = combos(grid or ALS_GRID)[:max_trials]
     inter = materialize(features.interactions(train))
@@ -162,7 +162,7 @@ def route_objective() -> Column:
     return out
 
 
-def sweep_route(c: Cases, train: DataFrame, pois: DataFrame, cats: DataFrame, k: int = 8, max_trials: int = 15, seed: int = 42, grid: dict | None = None) -> DataFrame:
+def sweep_route(c: Cases, train: DataFrame, pois: DataFrame, cats: DataFrame, k: int = 8, max_trials: int | None = None, seed: int = 42, grid: dict | None = None) -> DataFrame:
     """One row per planner setting with mean route metrics and the objective; candidates are scored once."""
     import hashlib
 
@@ -174,7 +174,7 @@ def sweep_route(c: Cases, train: DataFrame, pois: DataFrame, cats: DataFrame, k:
     largest = max(t["candidate_pool"] for t in trials)
     fused = fusion.weighted_sum(fused_rows(c, s, largest), weights)
     pool = materialize(top_per_group(fused, ["case_id"], by_score(), largest).drop("rank"))
-    cands = pool.join(pois.select("poi_id", "lat", "lon", "primary_category"), "poi_id").withColumn("trial", F.explode(F.array(*[F.lit(i) for i in range(len(trials))])))
+    cands = pool.join(pois.select("poi_id", "lat", "lon", "primary_category"), "poi_id")
     base = routes.PlannerParams(k=k, distance_weight_no_anchor=None, max_leg_km_no_anchor=None)
     params = {i: routes.with_params(base, **t) for i, t in enumerate(trials)}
     planned = materialize(routes.plan_route(cands, base, ["trial", "case_id"], params))
