@@ -143,10 +143,11 @@ def fused_rows(c: Cases, s: ev.Scored, k: int) -> DataFrame:
     return rows.withColumn("score", F.col("score") / F.col("_m")).drop("_m")
 
 
-def sweep_hybrid(c: Cases, train: DataFrame, pois: DataFrame, cats: DataFrame, k: int = 20, trials: int = 25, base: list[float] | None = None, item_vectors: DataFrame | None = None) -> DataFrame:
+def sweep_hybrid(c: Cases, train: DataFrame, pois: DataFrame, cats: DataFrame, k: int = 20, trials: int = 25, base: list[float] | None = None, item_vectors: DataFrame | None = None,
+                 als: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(trial, weights, metrics): engine scores once, then every weight vector."""
     p = ev.EvalParams(k=k, backoff=0.35, markov_topn=150)
-    s = ev.engine_scores(c, train, pois, cats, p, item_vectors)
+    s = ev.engine_scores(c, train, pois, cats, p, item_vectors, als)
     weights = F.broadcast(weight_trials(train.sparkSession, base or fusion.WEIGHTS["trail_current"], trials))
     # the trial table is a small generated grid: its weights ride on every row as one array
     grid = weights.agg(F.collect_list(F.struct("trial", "weights")).alias("_grid"))
@@ -162,14 +163,15 @@ def route_objective() -> Column:
     return out
 
 
-def sweep_route(c: Cases, train: DataFrame, pois: DataFrame, cats: DataFrame, k: int = 8, max_trials: int | None = None, seed: int = 42, grid: dict | None = None) -> DataFrame:
+def sweep_route(c: Cases, train: DataFrame, pois: DataFrame, cats: DataFrame, k: int = 8, max_trials: int | None = None, seed: int = 42, grid: dict | None = None,
+                item_vectors: DataFrame | None = None, als: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """One row per planner setting with mean route metrics and the objective; candidates are scored once."""
     import hashlib
 
     every = combos(grid or ROUTE_GRID)
     every.sort(key=lambda t: hashlib.md5(f"{seed}:{sorted(t.items())}".encode()).hexdigest())
     trials = every[:max_trials]
-    s = ev.engine_scores(c, train, pois, cats, ev.EvalParams(k=k, backoff=0.35, markov_topn=200))
+    s = ev.engine_scores(c, train, pois, cats, ev.EvalParams(k=k, backoff=0.35, markov_topn=200), item_vectors, als)
     weights = c.cases.select("case_id", F.array(*[F.lit(x) for x in fusion.WEIGHTS["trail_current"]]).alias("weights"))
     largest = max(t["candidate_pool"] for t in trials)
     fused = fusion.weighted_sum(fused_rows(c, s, largest), weights)
