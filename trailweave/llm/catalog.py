@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.llm import ann, bpe, dedup, filteraudit, htmltext, packing, pii, shards, tokenfiles, toxicity, winnow
+from trailweave.llm import ann, bpe, dedup, filteraudit, htmltext, packing, pii, shards, tokenfiles, toxicity, turns, winnow
 from trailweave.session import materialize, scratch_dir
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -135,3 +135,9 @@ k AS (SELECT part, filter_order, step, x, coalesce(sum(n) FILTER (NOT gone AND N
   coalesce(sum(good) FILTER (NOT gone AND fails), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND fails), 0)::BIGINT AS toxic_lost FROM r GROUP BY ALL)
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM k
 """
+
+
+@query
+def op11_ida_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by rule and repaired: its faults, the cheapest edits and the repaired text's digest."""
+    return turns.audit(turns.damage(table(spark, sf_dir, "conversations")))
