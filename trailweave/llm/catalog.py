@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.llm import ann, bpe, dedup, filteraudit, htmltext, packing, pii, shards, tokenfiles, toxicity, turns, winnow
+from trailweave.llm import ann, bpe, dedup, filteraudit, htmltext, packing, pii, secretscan, shards, tokenfiles, toxicity, turns, winnow
 from trailweave.session import materialize, scratch_dir
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -141,3 +141,9 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 def op11_ida_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, damaged by rule and repaired: its faults, the cheapest edits and the repaired text's digest."""
     return turns.audit(turns.damage(table(spark, sf_dir, "conversations")))
+
+
+@query
+def op13_randomness_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text: base spans by pattern and the strings that the randomness tests add."""
+    return secretscan.report(secretscan.find(table(spark, sf_dir, "documents")))
