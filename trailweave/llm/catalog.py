@@ -97,13 +97,13 @@ def op9_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op9_extendible_hashing"] = f"""
-WITH d AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+WITH d AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h, row_number() OVER () AS r FROM documents),
 lv AS (SELECT unnest(range(0, 61))::BIGINT AS depth),
-probe AS (SELECT doc_id, n_bytes, h, depth, h >> (60 - depth) AS bucket FROM d, lv),
+probe AS (SELECT r, n_bytes, h, depth, h >> (60 - depth) AS bucket FROM d, lv),
 nodes AS (SELECT depth, bucket, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS shard_docs FROM probe GROUP BY ALL),
-leaf AS (SELECT a.doc_id, a.h, min(a.depth) AS depth FROM probe a JOIN nodes USING (depth, bucket) WHERE shard_bytes <= {SHARD_BYTES} OR shard_docs = 1 OR depth = 60 GROUP BY ALL)
+leaf AS (SELECT a.r, min(a.depth) AS depth FROM probe a JOIN nodes USING (depth, bucket) WHERE shard_bytes <= {SHARD_BYTES} OR shard_docs = 1 OR depth = 60 GROUP BY ALL)
 SELECT d.doc_id, d.n_bytes, CASE WHEN depth = 0 THEN '' ELSE right(lpad(bin(n.bucket), 60, '0'), depth::INT) END AS shard, depth::INT AS depth, shard_bytes, shard_docs
-FROM d JOIN leaf USING (doc_id, h) JOIN nodes n USING (depth) WHERE n.bucket = d.h >> (60 - depth)
+FROM d JOIN leaf USING (r) JOIN nodes n USING (depth) WHERE n.bucket = d.h >> (60 - depth)
 """
 
 

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.vocab import UnitEncoder
+from trailweave.llm.vocab import shared_encoder
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 FIELDS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()),
@@ -90,7 +90,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2,
     are left out. Sequence ids are unique, numbered within the partition. An empty table gives no rows.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer, end = UnitEncoder(tokenizer, keeps_gaps=False), Packer(capacity, grain), np.array([end_id], "<u4").tobytes()
+        encoder, packer, end = shared_encoder(tokenizer, keeps_gaps=False), Packer(capacity, grain), np.array([end_id], "<u4").tobytes()
         sequence_id = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
         size = 0

@@ -106,10 +106,11 @@ def matches(text: Column, source: int) -> Column:
 def candidates(docs: DataFrame) -> DataFrame:
     """(row, doc_id, source, kind, start, end, votes): a row per match of any pattern; a row of nulls for a text without any.
 
-    ``row`` tells input rows apart. Card runs of fewer than 13 or more than 19 digits are no candidates.
+    ``row`` tells input rows apart; it is that of ``docs`` if it has one. Card runs of fewer than 13 or more than 19 digits are no candidates.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    numbered = docs.select("doc_id", text.alias("text")).withColumn("row", F.monotonically_increasing_id())
+    row = F.col("row") if "row" in docs.columns else F.monotonically_increasing_id()
+    numbered = docs.select("doc_id", text.alias("text"), row.alias("row"))
     found = numbered.select("row", "doc_id", F.explode_outer(F.concat(*[matches(F.col("text"), s) for s in range(len(SOURCES))])).alias("x"))
     found = found.select("row", "doc_id", "x.*").repartition("row")
     before = Window.partitionBy("row", "source").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
@@ -173,21 +174,23 @@ def spans_score(model: Model, kind: Column, cast: Column) -> Column:
     return 1 / (1 + F.exp(-total))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Model]:
-    """All candidates as a written table, and the model learned from their votes."""
-    found = materialize(candidates(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))))
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> tuple[DataFrame, Model]:
+    """All candidates as a written table, and the model learned from their votes. ``row_col`` names a column that tells rows apart, if there is one."""
+    row = [F.col(row_col).alias("row")] if row_col else []
+    found = materialize(candidates(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *row)))
     counted = found.where("kind is not null").groupBy("kind", "votes").count().collect()  # at most kinds x 3^voters rows
     return found, learn([(r["kind"], r["votes"], r["count"]) for r in counted])
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Model]:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, model: Model | None = None) -> tuple[DataFrame, Model]:
     """Spans (row, doc_id, kind, start, end, base boolean) of all texts and the model; a text without spans has one row of null kind.
 
     Positions count code points, the end exclusive. Base spans are the leftmost non-overlapping matches of each
     strict pattern that pass its rule. Added spans overlap no base span. A null text counts as empty; null and
-    repeated doc_ids are told apart by ``row``; other columns are left out.
+    repeated doc_ids are told apart by ``row``; other columns are left out. A ``model`` given is used in place of the one learned here.
     """
-    found, model = fit(docs, id_col, text_col)
+    found, learned = fit(docs, id_col, text_col, row_col)
+    model = model or learned
     base = (F.col("source") < len(STRICT)) & (F.get("votes", F.lit(0)) == 1)
     scored = found.withColumn("base", F.coalesce(base, F.lit(False))).withColumn("score", spans_score(model, F.col("kind"), F.col("votes")))
     order = Window.partitionBy("row").orderBy("start", "end", "source")
@@ -212,26 +215,41 @@ def report(spans: DataFrame) -> DataFrame:
     return rows.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(joined(F.col("b")).cast("binary"), 256).alias("base_sha256"), joined(F.col("s")).alias("spans"))
 
 
-def redact(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with every span that ``find`` gives replaced by its kind in brackets, without a shuffle; other columns stay.
+#: Code points of the stretches in which a text is written anew.
+STRETCH = 4096
 
-    Kinds are replaced one after another: strict emails, phones, addresses, cards, then added spans. A null text stays null.
+
+def redact(docs: DataFrame, model: Model | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with every span that ``find`` gives replaced by its kind in brackets; other columns stay, a null text stays null.
+
+    Spans that overlap become one, named by the first of them (of those with one start, the longest). Positions are those in the original text, and each text with
+    spans is written once, by stretches, so that time grows with its length; texts without spans are not moved. Rows are
+    told apart by a number of their own, so null and repeated ids don't matter.
     """
-    out = docs
-    for source in (0, 3, 1, 2, *range(len(STRICT), len(SOURCES))):
-        kind, pattern, needs = SOURCES[source]
-        text = F.col(text_col)
-        has = F.contains(text, F.lit(needs)) if needs == "@" else text.rlike(needs)
-        zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.concat(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array(F.lit(""))).alias("m"),
-                              F.concat(F.slice(F.split(text, pattern, -1), 2, F.greatest(F.size(F.split(text, pattern, -1)), F.lit(0))), F.array(F.lit(""))).alias("after"))
-
-        def written(x: Column) -> Column:
-            number, m = F.lit(kind), x["m"]
-            cast = votes(F.lit(source), number, m, F.right(x["gap"], F.lit(24)), F.left(x["after"], F.lit(12)))
-            accepted = spans_score(model, number, cast) >= 0.5
-            if source < len(STRICT):
-                accepted = valid(number, m) | accepted & (F.length(digits(m)).between(13, 19) if kind == 2 else F.lit(True))
-            return F.concat(x["gap"], F.when(m == "", "").when(accepted, f"[{KINDS[kind].upper()}]").otherwise(m))
-
-        out = out.withColumn(text_col, F.when(has, F.array_join(F.transform(zipped, written), "")).otherwise(text))
-    return out
+    row = "_row"
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
+    spans = find(numbered, id_col, text_col, row, model)[0].where("kind is not null")
+    order = Window.partitionBy("row").orderBy("start", F.desc("end"), "kind")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    parts = spans.withColumn("new", F.coalesce(F.col("start") >= reach, F.lit(True)).cast("int"))
+    parts = parts.withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = parts.groupBy("row", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max(F.when(F.col("new") == 1, F.col("kind"))).alias("kind"))
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    cut = merged.withColumn("at", F.explode(F.sequence(F.floor(F.col("start") / STRETCH), F.floor((F.col("end") - 1) / STRETCH))))
+    low = F.greatest(F.col("start") - F.col("at") * STRETCH, F.lit(0)).cast("int")
+    high = F.least(F.col("end") - F.col("at") * STRETCH, F.lit(STRETCH)).cast("int")
+    tag = F.when(F.floor(F.col("start") / STRETCH) == F.col("at"), F.get(names, F.col("kind"))).otherwise("")
+    cut = cut.select("row", F.col("at").cast("int").alias("at"), F.struct(low.alias("low"), high.alias("high"), tag.alias("tag")).alias("piece"))
+    stretches = cut.groupBy("row", "at").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
+    edits = stretches.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("at", "pieces"))).alias("_edits")).withColumnRenamed("row", row)
+
+    def written(stretch: Column, at: Column) -> Column:
+        pieces = F.element_at("_edits", at.cast("int"))
+        kept = F.transform(pieces, lambda p, i: F.concat(
+            F.substring(stretch, F.coalesce(F.get(pieces, i - 1)["high"], F.lit(0)) + 1, p["low"] - F.coalesce(F.get(pieces, i - 1)["high"], F.lit(0))), p["tag"]))
+        return F.when(pieces.isNull(), stretch).otherwise(F.concat(F.array_join(kept, ""), F.substring(stretch, F.element_at(pieces, -1)["high"] + 1, F.lit(STRETCH))))
+
+    joined_up = numbered.join(edits, row, "left")
+    stretched = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))
+    text = F.when(F.col("_edits").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stretched, written), ""))
+    return joined_up.withColumn(text_col, text).select(*docs.columns)

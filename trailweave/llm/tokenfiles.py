@@ -18,9 +18,8 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from trailweave.llm.vocab import UnitEncoder
+from trailweave.llm.vocab import shared_encoder
 from trailweave.session import materialize
 
 MANIFEST = "part long, name string, n_docs long, n_null long, n_tokens long, width int"
@@ -45,8 +44,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, id_col:
         files, path = place(folder)
         files.create_dir(path)
         part, name = TaskContext.get().partitionId(), f"{path}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
-        typecode = "I" if Tokenizer.from_file(tokenizer).get_vocab_size() > 1 << 16 else "H"
-        encoder, end = UnitEncoder(tokenizer, keeps_gaps=True, typecode=typecode), array(typecode, [end_id]).tobytes()
+        encoder = shared_encoder(tokenizer, keeps_gaps=True, typecode=None)
+        end = array(encoder.typecode, [end_id]).tobytes()
         ids, lengths, stream = [], [], None
         for batch in batches:
             if batch.num_rows and stream is None:

@@ -8,6 +8,8 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from functools import lru_cache
+from itertools import islice
 
 from tokenizers import Tokenizer
 
@@ -74,13 +76,15 @@ class Units(dict):
 class UnitEncoder:
     """``keeps_gaps`` says whether white space and case have ids of their own (byte-level files) or are dropped (word files).
 
-    Both kinds are BPE files over byte letters. The tables start anew when they have ``table_size`` entries.
+    Both kinds are BPE files over byte letters. ``typecode`` is that of the packed ids; None means 16 bits if the
+    vocabulary allows it, else 32. A table that has ``table_size`` entries loses the older half.
     """
 
-    def __init__(self, path: str, keeps_gaps: bool, typecode: str = "I", table_size: int = 500_000) -> None:
+    def __init__(self, path: str, keeps_gaps: bool, typecode: str | None = "I", table_size: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        typecode = typecode or ("I" if self.tokenizer.get_vocab_size() > 1 << 16 else "H")
         self.keeps_gaps, self.typecode, self.table_size = keeps_gaps, typecode, table_size
         self.table = Units(self.tokenizer, typecode, keeps_gaps)
         self.spaced = Units(self.tokenizer, typecode, keeps_gaps, " ")  # units without the space before them
@@ -90,7 +94,8 @@ class UnitEncoder:
         """The ids of one text as packed integers (little-endian as on all platforms Spark runs on)."""
         for known in (self.table, self.spaced, self.table.pieces):
             if len(known) > self.table_size:
-                known.clear()
+                for unit in list(islice(known, len(known) // 2)):
+                    del known[unit]
         known = self.table.__getitem__
         if not self.keeps_gaps:
             split = WITHOUT_GAP.findall(text) if FILE_MARKS.search(text) else text.split()
@@ -102,3 +107,9 @@ class UnitEncoder:
             split = lines.split(" ")  # each word but the first has one space or one line end before it
             return known(split[0]) + b"".join(map(self.spaced.__getitem__, split[1:]))
         return b"".join(map(known, WITH_GAP.findall(text)))
+
+
+@lru_cache(4)
+def shared_encoder(path: str, keeps_gaps: bool, typecode: str | None = "I") -> UnitEncoder:
+    """One encoder for all tasks of a worker process, so that what one task has looked up serves the next."""
+    return UnitEncoder(path, keeps_gaps, typecode)

@@ -29,7 +29,7 @@ def chosen(df: DataFrame, hashes: str, out: str, window: int = WINDOW) -> DataFr
     """Adds ``out``: positions (from 0) of the hashes that are the rightmost smallest of some window; a shorter row is one window."""
     h, low = F.col(hashes), F.col("_low")
     windows = F.sequence(F.lit(0), F.size(h) - window)
-    smallest = F.transform(windows, lambda i: F.least(*[h[i + j] for j in range(window)]))
+    smallest = F.transform(windows, lambda i: F.least(*[h[i + j] for j in range(window)]) if window > 1 else h[i])
 
     def rightmost(i: Column) -> Column:
         pick = F.when(h[i + window - 1] == low[i], i + window - 1)
