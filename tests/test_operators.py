@@ -304,3 +304,28 @@ def test_lists_are_full_however_much_was_seen(spark):
     seen = spark.createDataFrame([(7, i, 1) for i in range(50)], "case_id long, poi_id long, n long")
     assert engines.als_score(cases, seen, users, items, 10).count() == 10
     assert engines.embed_context(seen.select("case_id", "poi_id"), items, 10).count() == 10
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot"])
+def test_pruned_search_is_exact_and_leaves_most_pairs_out(spark, metric):
+    """Clustered vectors with ties, a zero vector and lists longer than a cell: brute force's rows from a small part of the pairs."""
+    rng = np.random.default_rng(5)
+    middles = rng.normal(size=(40, 16)) * 6
+    x = np.round(middles[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 16)) * 0.3, 3)
+    x[7] = 0
+    x[100:130] = x[100]
+    q = x[rng.choice(3000, 120, replace=False)] + 0.01
+    q[3] = 0
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9999, None)], "poi_id long, vec array<double>")
+    queries = spark.createDataFrame([(i, v.tolist(), 300 if i % 50 == 0 else 0) for i, v in enumerate(q)] + [(777, None, 0)], "case_id long, vec array<double>, more int")
+    found = vectors.search(queries, items, 10, metric, item_blocks=60, block_rows=64)
+    unit = (lambda a: a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)) if metric == "cosine" else (lambda a: a)
+    scores = np.round(unit(q) @ unit(x).T, 9)
+    got = {(r.case_id, r["rank"]): (r.poi_id, r.score) for r in found.best.collect()}
+    for i in range(len(q)):
+        n = 310 if i % 50 == 0 else 10
+        order = np.argsort(-scores[i], kind="stable")[:n]
+        assert [got[i, k + 1][0] for k in range(n)] == order.tolist() or np.allclose([got[i, k + 1][1] for k in range(n)], scores[i][order], atol=2e-9)
+    assert len(got) == 120 * 10 + 3 * 300
+    met = sum(len(r.cells) for t in (found.first, found.later) for r in t.where("case_id % 50 <> 0 and case_id <> 3").collect())
+    assert met < 0.25 * found.n_cells * 116

@@ -1,66 +1,192 @@
-"""Exact nearest items for many query vectors, as block-by-block matrix products.
+"""Exact nearest items for many query vectors, as block products that bounds leave out where they can.
 
-Queries and items are hashed into blocks; each task multiplies one query block by one item
-block with numpy and keeps the best n per query, so neither side is broadcast or collected
-and no (query, item) pair leaves a task unless it is among the best of its block.
+Items are dealt to cells, each with a centre c and a radius r. For an item x of a cell q.x = q.c + q.(x - c), which by Cauchy and
+Schwarz is at most q.c + |q| r. A query first meets the cells whose centres promise most, as many as
+it takes to fill its list; its n-th best there is a floor, and then only cells whose bound reaches that floor are multiplied.
+The result is that of comparing every pair, for any centres; they only decide how much is left out.
+
+Centres come from a bounded sample of the items (``SAMPLE`` rows) and are at most ``MOST_CELLS`` vectors, so they travel with the tasks.
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from trailweave.functions.numeric import by_score, r9, top_per_group
+from trailweave.session import materialize
 
 BLOCK_ROWS = 4096
+CELL_ROWS, MOST_CELLS, SAMPLE = 256, 1024, 16_384
+# Scores are rounded to nine digits, so a bound may fall short of a floor by this much and still matter.
+SLACK = 1e-8
 
 
-def _blocks(df: DataFrame, block_rows: int) -> int:
-    return max(1, -(-df.count() // block_rows))
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.vstack(vectors.to_numpy())
 
 
-def top_items(
-    queries: DataFrame, items: DataFrame, n: int, metric: str = "cosine",
-    query_blocks: int | None = None, item_blocks: int | None = None, block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """(case_id, poi_id, score, rank): the n best items per query by cosine or dot product.
+def _unit(a: np.ndarray) -> np.ndarray:
+    return a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
+
+
+def centres(items: DataFrame, n_items: int, cells: int, unit: bool, rounds: int = 5) -> np.ndarray:
+    """About ``cells`` centres by Lloyd's rounds over a hashed sample of the item vectors."""
+    every = max(1, n_items // SAMPLE)
+    sample = items.where(F.pmod(F.xxhash64("poi_id", F.lit(7)), F.lit(every)) == 0).select("poi_id", "vec").limit(2 * SAMPLE).toArrow()
+    order = np.argsort(sample.column("poi_id").to_numpy())
+    lists = sample.column("vec").combine_chunks()
+    x = np.asarray(lists.flatten(), dtype=float).reshape(len(lists), -1)[order]
+    if unit:
+        x = _unit(x)
+    c = x[np.linspace(0, len(x) - 1, min(cells, len(x))).astype(int)]
+    for _ in range(rounds):
+        near = np.argmax(x @ c.T - 0.5 * (c * c).sum(axis=1), axis=1)
+        sums, sizes = np.zeros_like(c), np.bincount(near, minlength=len(c))
+        np.add.at(sums, near, x)
+        c = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], c)
+    return c
+
+
+@dataclass
+class Cells:
+    """Items dealt to cells as a written table (poi_id, item_vec, cell), and each cell's centre, radius and number of items."""
+
+    items: DataFrame
+    centre: np.ndarray
+    radius: np.ndarray
+    size: np.ndarray
+
+
+def deal(items: DataFrame, unit: bool, cells: int | None = None) -> Cells:
+    """Every item to the cell of its nearest centre; rows without a vector are left out."""
+    items = items.where("vec IS NOT NULL").select("poi_id", "vec")
+    n = items.count()
+    c = centres(items, n, cells or min(MOST_CELLS, -(-n // CELL_ROWS)), unit) if n else np.zeros((1, 1))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x = _unit(_matrix(b["vec"])) if unit else _matrix(b["vec"])
+                near = np.argmax(x @ c.T - 0.5 * (c * c).sum(axis=1), axis=1)
+                yield pd.DataFrame({"poi_id": b["poi_id"], "item_vec": list(x), "cell": near.astype("int32"), "away": np.linalg.norm(x - c[near], axis=1)})
+
+    placed = materialize(items.mapInPandas(place, "poi_id long, item_vec array<double>, cell int, away double"))
+    radius, size = np.zeros(len(c)), np.zeros(len(c), int)
+    for r in placed.groupBy("cell").agg(F.max("away").alias("r"), F.count("*").alias("n")).collect():  # a row a cell
+        radius[r["cell"]], size[r["cell"]] = r["r"], r["n"]
+    return Cells(placed.drop("away"), c, radius, size)
+
+
+def probes(scores: np.ndarray, size: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """Which cells each query meets first: the most promising centres until they hold ``want`` items."""
+    order = np.argsort(-scores, axis=1, kind="stable")
+    before = np.cumsum(size[order], axis=1) - size[order]
+    first = np.zeros(scores.shape, bool)
+    np.put_along_axis(first, order, before < want[:, None], axis=1)
+    return first & (size > 0)
+
+
+def chosen_cells(queries: DataFrame, index: Cells, floors: bool) -> DataFrame:
+    """Adds ``cells`` array<int>: those a query meets first or, given the ``floor`` it reached there, those it still has to."""
+    c, radius, size = index.centre, index.radius, index.size
 
-    ``queries`` is (case_id, vec), ``items`` is (poi_id, vec). Block counts come from row
-    counts unless given. A column ``more`` of the queries asks for that many more than n each.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            q = _matrix(b["vec"])
+            scores = q @ c.T
+            mask = probes(scores, size, b["want"].to_numpy())
+            if floors:
+                bound = scores + np.linalg.norm(q, axis=1, keepdims=True) * radius
+                mask = ~mask & (size > 0) & (bound + SLACK >= b["floor"].to_numpy()[:, None])
+            yield b.assign(cells=[np.flatnonzero(m).astype("int32") for m in mask])
+
+    return queries.mapInPandas(run, ", ".join(f"{n} {t}" for n, t in queries.dtypes) + ", cells array<int>")
+
+
+def multiplied(queries: DataFrame, index: Cells, block_rows: int, query_blocks: int | None) -> DataFrame:
+    """(case_id, poi_id, score, want): each query's best ``want`` of every block of the cells it has to meet.
+
+    A cell's items and queries are cut into blocks of about ``block_rows`` by hash; a block of items meets a block of queries in one task.
     """
-    queries = queries.withColumn("want", F.lit(n) + (F.col("more") if "more" in queries.columns else F.lit(0)))
-    nq = query_blocks or _blocks(queries, block_rows)
-    ni = item_blocks or _blocks(items, block_rows)
-    q = queries.where("vec IS NOT NULL").select(
-        "case_id", "vec", "want", F.pmod(F.xxhash64("case_id"), F.lit(nq)).cast("int").alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(ni - 1))).alias("ib"))
-    i = items.select(
-        F.col("poi_id").alias("poi_id"), F.col("vec").alias("item_vec"), F.pmod(F.xxhash64("poi_id"), F.lit(ni)).cast("int").alias("ib"),
-        F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
-    cosine = metric == "cosine"
+    pairs = queries.select("case_id", "vec", "want", F.explode("cells").alias("cell"))
+    asked = np.zeros(len(index.size), int)
+    for r in pairs.groupBy("cell").count().collect():  # a row a cell
+        asked[r["cell"]] = r["count"]
+    parts = [max(1, -(-int(x) // block_rows)) for x in index.size]
+    blocks = [query_blocks or max(1, -(-int(x) // block_rows)) for x in asked]
+    of = lambda values: F.get(F.lit(values), F.col("cell"))
+    q = pairs.withColumn("qb", F.pmod(F.xxhash64("case_id"), of(blocks)).cast("int")).withColumn("ib", F.explode(F.sequence(F.lit(0), of(parts) - 1)))
+    used = F.lit([int(x > 0) for x in asked])
+    i = index.items.where(F.get(used, F.col("cell")) == 1).withColumn("ib", F.pmod(F.xxhash64("poi_id"), of(parts)).cast("int")).withColumn(
+        "qb", F.explode(F.sequence(F.lit(0), of(blocks) - 1)))
 
     def multiply(qs: pd.DataFrame, its: pd.DataFrame) -> pd.DataFrame:
         if qs.empty or its.empty:
             return pd.DataFrame({"case_id": pd.Series(dtype="int64"), "poi_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64"), "want": pd.Series(dtype="int64")})
         its = its.sort_values("poi_id")
-        a, b = np.vstack(qs["vec"].to_numpy()), np.vstack(its["item_vec"].to_numpy())
-        if cosine:
-            a = a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
-            b = b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)
-        scores = np.round(a @ b.T, 9)
+        scores = np.round(_matrix(qs["vec"]) @ _matrix(its["item_vec"]).T, 9)
         want = qs["want"].to_numpy()
-        keep = min(int(want.max()), b.shape[0])
+        keep = min(int(want.max()), scores.shape[1])
         # stable sort on the negated score: equal scores stay in id order
         order = np.argsort(-scores, axis=1, kind="stable")[:, :keep]
-        asked = (np.arange(keep) < want[:, None]).ravel()
+        asked_for = (np.arange(keep) < want[:, None]).ravel()
         return pd.DataFrame({
             "case_id": np.repeat(qs["case_id"].to_numpy(), keep),
             "poi_id": its["poi_id"].to_numpy()[order].ravel(),
             "score": np.take_along_axis(scores, order, axis=1).ravel(),
-            "want": np.repeat(want, keep)})[asked]
+            "want": np.repeat(want, keep)})[asked_for]
+
+    keys = ["cell", "qb", "ib"]
+    return q.groupBy(*keys).cogroup(i.groupBy(*keys)).applyInPandas(multiply, "case_id long, poi_id long, score double, want long")
 
-    best = q.groupBy("qb", "ib").cogroup(i.groupBy("qb", "ib")).applyInPandas(multiply, "case_id long, poi_id long, score double, want long")
-    return top_per_group(best.withColumn("score", r9("score")), ["case_id"], by_score(), "want").drop("want")
+
+@dataclass
+class Search:
+    """``best`` (case_id, poi_id, score, rank) and the queries with the ``cells`` they met first and met later."""
+
+    best: DataFrame
+    first: DataFrame
+    later: DataFrame
+    n_cells: int
+
+
+def search(
+    queries: DataFrame, items: DataFrame, n: int, metric: str = "cosine",
+    query_blocks: int | None = None, item_blocks: int | None = None, block_rows: int = BLOCK_ROWS,
+) -> Search:
+    unit = metric == "cosine"
+    index = deal(items, unit, item_blocks)
+    want = F.lit(n) + (F.col("more") if "more" in queries.columns else F.lit(0))
+    length = F.greatest(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)), F.lit(1e-300))
+    vec = F.transform("vec", lambda x: x / length) if unit else F.col("vec")
+    asked = queries.where("vec IS NOT NULL").select(F.col("case_id").cast("long").alias("case_id"), vec.alias("vec"), want.cast("long").alias("want"))
+    first = materialize(chosen_cells(asked, index, False))
+    top = lambda rows: top_per_group(rows.withColumn("score", r9("score")), ["case_id"], by_score(), "want")
+    found = materialize(top(multiplied(first, index, block_rows, query_blocks)).drop("rank"))
+    floors = found.groupBy("case_id", "want").agg(F.count("*").alias("_n"), F.min("score").alias("_low")).where("_n >= want").select("case_id", F.col("_low").alias("floor"))
+    reached = first.drop("cells").join(floors, "case_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    later = materialize(chosen_cells(reached, index, True).drop("floor"))
+    best = top(found.unionByName(multiplied(later, index, block_rows, query_blocks))).drop("want")
+    return Search(best, first, later, int((index.size > 0).sum()))
+
+
+def top_items(
+    queries: DataFrame, items: DataFrame, n: int, metric: str = "cosine",
+    query_blocks: int | None = None, item_blocks: int | None = None, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """(case_id, poi_id, score, rank): the n best items per query by cosine or dot product, ties to the smaller id.
+
+    ``queries`` is (case_id, vec), ``items`` is (poi_id, vec). ``item_blocks`` is the number of cells and ``query_blocks`` that of
+    blocks a cell's queries are cut into, else they come from row counts. A column ``more`` of the queries asks
+    for that many more than n each.
+    """
+    return search(queries, items, n, metric, query_blocks, item_blocks, block_rows).best
 
 
 def mean_vectors(rows: DataFrame, key: str, weight: str | None = None, unit: bool = False) -> DataFrame:

@@ -251,12 +251,15 @@ def embed_next(cases: DataFrame, vectors: DataFrame, topn: int = 50, recent: Dat
     """
     cur = cases.where("current_poi IS NOT NULL").select("case_id", F.col("current_poi").alias("poi_id"))
     known = vectors.select("poi_id")
-    context = cur.join(known, "poi_id", "left_semi")
+    # searched once per distinct POI and shared by all cases that stand there
+    near = similar_pois(cur, vectors, topn).select(F.col("case_id").alias("_at"), "poi_id", "score")
+    out = cur.withColumnRenamed("poi_id", "_at").join(near, "_at").select("case_id", "poi_id", "score")
     if recent is not None:
         unknown = cur.join(known, "poi_id", "left_anti").select("case_id")
         back = recent.join(unknown, "case_id").join(known, "poi_id", "left_semi")
-        context = context.unionByName(top_per_group(back, ["case_id"], [F.col("pos").desc()], 3).select("case_id", "poi_id"))
-    return embed_context(context.select("case_id", "poi_id"), vectors, topn)
+        back = top_per_group(back, ["case_id"], [F.col("pos").desc()], 3).select("case_id", "poi_id")
+        out = out.unionByName(embed_context(back, vectors, topn))
+    return out
 
 
 def embed_history(history: DataFrame, vectors: DataFrame, topn: int = 20) -> DataFrame:
