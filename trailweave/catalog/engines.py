@@ -144,23 +144,24 @@ def next_category(t):
     return eng.next_category(cats, tr.transitions_cat(t.visits, t.pois), 5).withColumn("score", r9("score"))
 
 
-# transitions of one city only, so the current POIs of most users start none
-add_view("v_few", "SELECT * FROM v_visits WHERE venue_city = 'C3'")
-add_view("v_few_leads", "SELECT poi_id, lead(poi_id) OVER (PARTITION BY trail_id ORDER BY ts, seq, poi_id, tie) AS nx FROM v_few")
-add_view("v_few_trc", """
-SELECT cat_a, cat_b, n / sum(n) OVER (PARTITION BY cat_a) AS p FROM (SELECT pa.primary_category AS cat_a, pb.primary_category AS cat_b, count(*) AS n FROM v_few_leads l JOIN v_pois pa ON pa.poi_id = l.poi_id JOIN v_pois pb ON pb.poi_id = l.nx GROUP BY 1, 2)""")
+# the users of each nation have transitions of their own, so a POI that none of them left for another starts none
+add_view("v_nation_leads", "SELECT v.poi_id, c.c_nationkey AS scope, lead(poi_id) OVER (PARTITION BY trail_id ORDER BY ts, seq, poi_id, tie) AS nx FROM v_visits v JOIN customer c ON c.c_custkey = v.user_id")
+add_view("v_nation_trc", """
+SELECT scope, cat_a, cat_b, n / sum(n) OVER (PARTITION BY scope, cat_a) AS p FROM (SELECT scope, pa.primary_category AS cat_a, pb.primary_category AS cat_b, count(*) AS n FROM v_nation_leads l JOIN v_pois pa ON pa.poi_id = l.poi_id JOIN v_pois pb ON pb.poi_id = l.nx GROUP BY 1, 2, 3)""")
 
 
 @query("markov_cat_fallback", """
-WITH e AS (SELECT c.case_id, p.primary_category AS cat_a FROM v_ucase c JOIN v_pois p ON p.poi_id = c.current_poi WHERE c.current_poi NOT IN (SELECT poi_id FROM v_few_leads WHERE nx IS NOT NULL)),
-r AS (SELECT x.cat_a, p.poi_id, t.p, COALESCE(p.rating, 0) AS rating, max(COALESCE(p.rating, 0)) OVER (PARTITION BY x.cat_a) AS m FROM (SELECT DISTINCT cat_a FROM e) x JOIN v_few_trc t USING (cat_a) JOIN v_pois p ON p.primary_category = t.cat_b AND p.city_id = 'C3')
-SELECT e.case_id, r.poi_id, round(r.p * (0.7 + 0.3 * r.rating / CASE WHEN r.m > 0 THEN r.m ELSE 1 END), 9) AS score FROM e JOIN r USING (cat_a)""")
+WITH e AS (SELECT c.case_id, n.c_nationkey AS scope, p.primary_category AS cat_a FROM v_ucase c JOIN customer n ON n.c_custkey = c.user_id JOIN v_pois p ON p.poi_id = c.current_poi
+ WHERE NOT EXISTS (SELECT 1 FROM v_nation_leads l WHERE l.scope = n.c_nationkey AND l.poi_id = c.current_poi AND l.nx IS NOT NULL)),
+r AS (SELECT x.scope, x.cat_a, p.poi_id, t.p, COALESCE(p.rating, 0) AS rating, max(COALESCE(p.rating, 0)) OVER (PARTITION BY x.scope, x.cat_a) AS m FROM (SELECT DISTINCT scope, cat_a FROM e) x JOIN v_nation_trc t USING (scope, cat_a) JOIN v_pois p ON p.primary_category = t.cat_b),
+b AS (SELECT *, row_number() OVER (PARTITION BY scope, cat_a ORDER BY score DESC, poi_id) AS rn FROM (SELECT scope, cat_a, poi_id, round(p * (0.7 + 0.3 * rating / CASE WHEN m > 0 THEN m ELSE 1 END), 9) AS score FROM r))
+SELECT e.case_id, b.poi_id, b.score FROM e JOIN b USING (scope, cat_a) WHERE rn <= 20""")
 def markov_cat_fallback(t):
-    few = t.visits.where("venue_city = 'C3'")
-    cases = ucases(t)[0]
-    found = eng.markov1(cases, tr.transitions_poi(few), 1)
-    out = eng.markov_cat_fallback(cases, found, tr.transitions_cat(few, t.pois), t.pois, "city_id = 'C3'")
-    return out.withColumn("score", r9("score"))
+    nation = t.raw("customer").select(F.col("c_custkey").cast("long").alias("user_id"), F.col("c_nationkey").alias("scope"))
+    visits = t.visits.join(nation, "user_id")
+    cases = ucases(t)[0].drop("scope").join(nation, "user_id")
+    found = cases.join(tr.transitions_poi(visits, scope=["scope"]).select("scope", F.col("a").alias("current_poi")), ["scope", "current_poi"], "left_semi")
+    return eng.markov_cat_fallback(cases, found, tr.transitions_cat(visits, t.pois, scope=["scope"]), t.pois, 20).withColumn("score", r9("score"))
 
 
 # ---------------------------------------------------------------- embeddings and factors on given vectors

@@ -203,21 +203,23 @@ def next_category(cats: DataFrame, trans_cat: DataFrame, topn: int = 20) -> Data
     return top_per_group(rows.select("case_id", F.col("cat_b").alias("category"), r9("p").alias("score")), ["case_id"], by_score("score", "category"), topn)
 
 
-def markov_cat_fallback(cases: DataFrame, found: DataFrame, trans_cat: DataFrame, pois: DataFrame, candidates: str = "true") -> DataFrame:
-    """For cases without POI transitions: P(category) * (0.7 + 0.3 * rating / max rating).
+def markov_cat_fallback(cases: DataFrame, found: DataFrame, trans_cat: DataFrame, pois: DataFrame, topn: int | None = None) -> DataFrame:
+    """For cases without POI transitions: P(category) * (0.7 + 0.3 * rating / max rating), of all POIs or the best ``topn``.
 
-    Scores are worked out once per (scope, source category) and then looked up by the cases.
-    ``candidates`` is a condition on the POIs that may be suggested.
+    Scores are worked out once per (scope, source category) and then looked up by the cases. ``trans_cat`` and ``pois`` may each
+    have a ``scope``; without one they hold for every scope.
     """
     empty = cases.where("current_poi IS NOT NULL").join(found.select("case_id").distinct(), "case_id", "left_anti")
     cur = empty.join(pois.select(F.col("poi_id").alias("current_poi"), F.col("primary_category").alias("cat_a")), "current_poi").select("case_id", "scope", "cat_a")
-    scoped = (pois if "scope" in pois.columns else pois.withColumn("scope", F.lit("ALL"))).where(candidates)
+    own = lambda df, *keys: [*(["scope"] if "scope" in df.columns else []), *keys]
     needed = cur.select("scope", "cat_a").distinct()
-    reach = needed.join(trans_cat.select("cat_a", F.col("cat_b").alias("primary_category"), "p"), "cat_a")
-    rows = reach.join(scoped.select("scope", "poi_id", "primary_category", F.coalesce("rating", F.lit(0.0)).alias("rating")), ["scope", "primary_category"])
-    rows = attach(rows, ["scope", "cat_a"], F.max("rating").alias("_max"))
+    reach = needed.join(trans_cat.select(*own(trans_cat, "cat_a"), F.col("cat_b").alias("primary_category"), "p"), own(trans_cat, "cat_a"))
+    rated = pois.select(*own(pois, "poi_id", "primary_category"), F.coalesce("rating", F.lit(0.0)).alias("rating"))
+    rows = attach(reach.join(rated, own(pois, "primary_category")), ["scope", "cat_a"], F.max("rating").alias("_max"))
     share = F.col("rating") / F.when(F.col("_max") > 0, F.col("_max")).otherwise(F.lit(1.0))
     table = rows.select("scope", "cat_a", "poi_id", r9(F.col("p") * (0.7 + 0.3 * share)).alias("score"))
+    if topn is not None:
+        table = top_per_group(table, ["scope", "cat_a"], by_score(), topn).drop("rank")
     return cur.join(table, ["scope", "cat_a"]).select("case_id", "poi_id", "score")
 
 

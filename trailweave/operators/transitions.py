@@ -47,17 +47,19 @@ def consecutive(visits: DataFrame, columns: list[str], steps: int = 1, hot_rows:
     return lead_values(visits, key or ["trail_id"], TRAIL_ORDER, {c: f"next_{c}" for c in columns}, steps, hot_rows)
 
 
-def transition_counts(visits: DataFrame, hot_rows: int | None = None) -> DataFrame:
-    pairs = consecutive(visits.select("trail_id", *TRAIL_ORDER), ["poi_id"], 1, hot_rows)
+def transition_counts(visits: DataFrame, hot_rows: int | None = None, scope: list[str] | None = None) -> DataFrame:
+    """(scope..., a, b, n): how often b follows a on a trail; ``scope`` names columns that are constant on a trail."""
+    scope = scope or []
+    pairs = consecutive(visits.select("trail_id", *scope, *TRAIL_ORDER), ["poi_id"], 1, hot_rows)
     return (
         pairs.where("next_poi_id IS NOT NULL")
-        .groupBy(F.col("poi_id").alias("a"), F.col("next_poi_id").alias("b")).agg(F.count("*").alias("n"))
+        .groupBy(*scope, F.col("poi_id").alias("a"), F.col("next_poi_id").alias("b")).agg(F.count("*").alias("n"))
     )
 
 
-def transitions_poi(visits: DataFrame, hot_rows: int | None = None) -> DataFrame:
-    """(a, b, n, p): first-order transition probabilities, self-transitions included."""
-    return conditional(transition_counts(visits, hot_rows), ["a"], "b")
+def transitions_poi(visits: DataFrame, hot_rows: int | None = None, scope: list[str] | None = None) -> DataFrame:
+    """(scope..., a, b, n, p): first-order transition probabilities, self-transitions included."""
+    return conditional(transition_counts(visits, hot_rows, scope), [*(scope or []), "a"], "b")
 
 
 def transitions_order2(visits: DataFrame, hot_rows: int | None = None) -> DataFrame:
@@ -67,19 +69,20 @@ def transitions_order2(visits: DataFrame, hot_rows: int | None = None) -> DataFr
     return conditional(counts, ["p", "a"], "b", "p2")
 
 
-def transitions_cat(visits: DataFrame, pois: DataFrame, hot_rows: int | None = None) -> DataFrame:
-    """(cat_a, cat_b, n, p): both ends need a known primary category.
+def transitions_cat(visits: DataFrame, pois: DataFrame, hot_rows: int | None = None, scope: list[str] | None = None) -> DataFrame:
+    """(scope..., cat_a, cat_b, n, p): both ends need a known primary category.
 
     POI transitions are counted first, so the category lookup runs on distinct POI pairs.
     """
+    scope = scope or []
     cats = pois.where("primary_category IS NOT NULL").select("poi_id", "primary_category")
     counts = (
-        transition_counts(visits, hot_rows)
+        transition_counts(visits, hot_rows, scope)
         .join(cats.select(F.col("poi_id").alias("a"), F.col("primary_category").alias("cat_a")), "a")
         .join(cats.select(F.col("poi_id").alias("b"), F.col("primary_category").alias("cat_b")), "b")
-        .groupBy("cat_a", "cat_b").agg(F.sum("n").alias("n"))
+        .groupBy(*scope, "cat_a", "cat_b").agg(F.sum("n").alias("n"))
     )
-    return conditional(counts, ["cat_a"], "cat_b")
+    return conditional(counts, [*scope, "cat_a"], "cat_b")
 
 
 def labelled_visits(visits: DataFrame, poi_label: DataFrame, label: str) -> DataFrame:
