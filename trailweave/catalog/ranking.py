@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trailweave.catalog.engines import content_views
+from trailweave.catalog.engines import content_views, context_view
 from trailweave.catalog.oracle_views import add_view
 from trailweave.catalog.registry import query, shared
 from trailweave.functions.numeric import r6, r9
@@ -143,15 +143,45 @@ m AS (SELECT case_id, poi_id, round(sum(s), 9) AS score FROM s GROUP BY 1, 2),
 e AS (SELECT c.case_id, p.primary_category AS cat FROM v_r_case c JOIN v_pois p ON p.poi_id = c.current_poi WHERE c.case_id NOT IN (SELECT case_id FROM m)),
 f AS (SELECT e.case_id, p.poi_id, t.p, COALESCE(p.rating, 0) AS r, max(COALESCE(p.rating, 0)) OVER (PARTITION BY e.case_id) AS m FROM e JOIN v_trc t ON t.cat_a = e.cat JOIN v_pois p ON p.primary_category = t.cat_b)
 SELECT case_id, poi_id, score FROM m UNION ALL SELECT case_id, poi_id, round(p * (0.7 + 0.3 * r / CASE WHEN m > 0 THEN m ELSE 1 END), 9) FROM f""")
+# embeddings: the last three of history and given POI; else the given POI; else sums over the neighbours of the history
+add_view("v_r_ctx", """
+SELECT case_id, poi_id FROM (SELECT case_id, poi_id, row_number() OVER (PARTITION BY case_id ORDER BY pos DESC) AS back FROM
+ (SELECT q.req_id AS case_id, r.poi_id, r.pos FROM v_requests q JOIN v_urecent r ON r.case_id = q.user_id WHERE q.current_poi IS NULL OR r.poi_id <> q.current_poi
+  UNION ALL SELECT req_id, current_poi, 9000000000 FROM v_requests WHERE current_poi IS NOT NULL)) WHERE back <= 3""")
+add_view("v_r_ctx2", "SELECT * FROM v_r_ctx WHERE case_id IN (SELECT case_id FROM v_r_ctx GROUP BY case_id HAVING count(*) >= 2)")
+add_view("v_r_at", "SELECT req_id AS case_id, current_poi AS poi_id FROM v_requests WHERE current_poi IN (SELECT poi_id FROM v_unit) AND req_id NOT IN (SELECT case_id FROM v_r_ctx2)")
+context_view("v_r_emb_ctx", "v_r_ctx2", 2000)
+context_view("v_r_emb_at", "v_r_at", 2000)
+add_view("v_near_all", """
+SELECT a, b, score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rn FROM (SELECT x.poi_id AS a, y.poi_id AS b, round(list_dot_product(x.u, y.u), 9) AS score FROM v_unit x JOIN v_unit y ON x.poi_id <> y.poi_id)) WHERE rn <= 2000""")
+add_view("v_r_embed", """
+SELECT case_id, poi_id, score FROM v_r_emb_ctx UNION ALL SELECT case_id, poi_id, score FROM v_r_emb_at
+UNION ALL SELECT q.req_id, n.b, round(sum(n.score), 9) FROM v_requests q JOIN v_uhist h ON h.case_id = q.user_id JOIN v_near_all n ON n.a = h.poi_id
+ WHERE q.current_poi IS NULL AND q.req_id NOT IN (SELECT case_id FROM v_r_ctx2) AND NOT EXISTS (SELECT 1 FROM v_uhist x WHERE x.case_id = q.user_id AND x.poi_id = n.b) GROUP BY 1, 2""")
+# factors: the user's own, else the mean of the visited items' weighted by visits; the 500 best unvisited items
+add_view("v_r_als_user", """
+SELECT r.req_id AS case_id, v.vec FROM v_requests r JOIN v_user_vectors v USING (user_id)
+UNION ALL SELECT case_id, list(m ORDER BY d) FROM (SELECT case_id, d, sum(n * x) / sum(n) AS m FROM (SELECT h.case_id, h.n, unnest(v.vec) AS x, unnest(range(1, len(v.vec) + 1)) AS d FROM v_r_hist h JOIN v_item_vectors v USING (poi_id)
+ WHERE h.case_id NOT IN (SELECT r.req_id FROM v_requests r JOIN v_user_vectors u USING (user_id))) GROUP BY 1, 2) GROUP BY 1""")
+add_view("v_r_als", """
+SELECT case_id, poi_id, score FROM (SELECT s.*, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, poi_id) AS rn FROM (SELECT u.case_id, i.poi_id, round(list_dot_product(u.vec, i.vec), 9) AS score FROM v_r_als_user u CROSS JOIN v_item_vectors i) s
+ WHERE NOT EXISTS (SELECT 1 FROM v_r_hist h WHERE h.case_id = s.case_id AND h.poi_id = s.poi_id)) WHERE rn <= 500""")
 add_view("v_r_sparse", """
 WITH i AS (SELECT h.case_id, c.b AS poi_id, CAST(sum(c.n) AS DOUBLE) AS score FROM v_r_hist h JOIN v_cooc c ON c.a = h.poi_id WHERE NOT EXISTS (SELECT 1 FROM v_r_hist x WHERE x.case_id = h.case_id AND x.poi_id = c.b) GROUP BY 1, 2),
-m AS (SELECT k.case_id, k.poi_id, k.score / sqrt(COALESCE(c.n_visits, 1)) AS score FROM v_r_mk k LEFT JOIN v_counts c USING (poi_id))
-SELECT case_id, 'item' AS engine, poi_id, score / max(score) OVER (PARTITION BY case_id) AS score FROM i UNION ALL SELECT case_id, 'markov', poi_id, score / max(score) OVER (PARTITION BY case_id) FROM m""")
+m AS (SELECT k.case_id, k.poi_id, k.score / sqrt(COALESCE(c.n_visits, 1)) AS score FROM v_r_mk k LEFT JOIN v_counts c USING (poi_id)),
+e AS (SELECT 'item' AS engine, * FROM i UNION ALL SELECT 'markov', * FROM m UNION ALL SELECT 'embed', * FROM v_r_embed UNION ALL SELECT 'als', * FROM v_r_als),
+n AS (SELECT *, max(score) OVER (PARTITION BY engine, case_id) AS top FROM e)
+SELECT case_id, engine, poi_id, score / top AS score FROM n WHERE top > 0 AND poi_id IN (SELECT poi_id FROM v_pois)""")
+# weights by what is known of the request: content, item, markov, embed, als
 add_view("v_r_fused", """
-SELECT l.case_id, l.poi_id, sum(l.score * CASE l.engine WHEN 'content' THEN CASE WHEN w.hu OR w.hc THEN 0.10 ELSE 0.60 END WHEN 'item' THEN CASE WHEN w.hu AND w.hc THEN 0.15 WHEN w.hu THEN 0.20 WHEN w.hc THEN 0.15 ELSE 0.2 END
- ELSE CASE WHEN w.hu AND w.hc THEN 0.15 WHEN w.hu THEN 0.10 WHEN w.hc THEN 0.35 ELSE 0.2 END END) AS score
+SELECT l.case_id, l.poi_id, sum(l.score * CASE w.kind WHEN 'both' THEN CASE l.engine WHEN 'content' THEN 0.10 WHEN 'item' THEN 0.15 WHEN 'markov' THEN 0.15 WHEN 'embed' THEN 0.05 ELSE 0.55 END
+ WHEN 'user' THEN CASE l.engine WHEN 'content' THEN 0.10 WHEN 'item' THEN 0.20 WHEN 'markov' THEN 0.10 WHEN 'embed' THEN 0.05 ELSE 0.55 END
+ WHEN 'place' THEN CASE l.engine WHEN 'content' THEN 0.10 WHEN 'item' THEN 0.15 WHEN 'markov' THEN 0.35 WHEN 'embed' THEN 0.05 ELSE 0.35 END
+ WHEN 'model' THEN CASE l.engine WHEN 'content' THEN 0.15 WHEN 'item' THEN 0.15 WHEN 'markov' THEN 0.10 WHEN 'embed' THEN 0.15 ELSE 0.45 END
+ ELSE CASE l.engine WHEN 'content' THEN 0.60 WHEN 'item' THEN 0.20 WHEN 'markov' THEN 0.20 ELSE 0.0 END END) AS score
 FROM (SELECT case_id, engine, poi_id, score FROM v_r_sparse UNION ALL SELECT case_id, 'content', poi_id, norm FROM v_r_content) l
-JOIN (SELECT c.case_id, h.case_id IS NOT NULL AS hu, c.current_poi IS NOT NULL AS hc FROM v_r_case c LEFT JOIN (SELECT DISTINCT case_id FROM v_r_hist) h USING (case_id)) w ON w.case_id = l.case_id GROUP BY 1, 2""")
+JOIN (SELECT c.case_id, CASE WHEN h.case_id IS NOT NULL AND c.current_poi IS NOT NULL THEN 'both' WHEN h.case_id IS NOT NULL THEN 'user' WHEN c.current_poi IS NOT NULL THEN 'place' WHEN k.case_id IS NOT NULL THEN 'model' ELSE 'none' END AS kind
+ FROM v_r_case c LEFT JOIN (SELECT DISTINCT case_id FROM v_r_hist) h USING (case_id) LEFT JOIN (SELECT DISTINCT case_id FROM v_r_sparse WHERE engine IN ('embed', 'als')) k USING (case_id)) w ON w.case_id = l.case_id GROUP BY 1, 2""")
 add_view("v_r_screened", """
 SELECT x.case_id, x.poi_id, p.primary_category, r.k, CASE WHEN h.req_id IS NULL THEN x.score ELSE x.score * CASE WHEN m.poi_id IS NOT NULL THEN 1.2 ELSE 1.0 END * CASE WHEN r.category_mode = 'strict' THEN 1.0 ELSE CASE WHEN i.poi_id IS NOT NULL THEN 1.3 ELSE 1.0 END * CASE WHEN f.oi THEN 0.8 ELSE 1.0 END END END AS score,
  """ + _HAV + """ AS d
@@ -159,10 +189,9 @@ FROM v_r_fused x JOIN v_requests r ON r.req_id = x.case_id JOIN v_pois p ON p.po
 LEFT JOIN v_imatch i ON i.req_id = x.case_id AND i.poi_id = x.poi_id LEFT JOIN v_pfacts f ON f.poi_id = x.poi_id
 WHERE p.lat IS NOT NULL AND p.primary_category NOT IN ('Intersection', 'State', 'Home (private)') AND (q.free_only IS NULL OR p.is_free = q.free_only) AND (q.max_price_tier IS NULL OR p.price_tier IS NULL OR p.price_tier <= q.max_price_tier)
  AND NOT EXISTS (SELECT 1 FROM v_r_seen s WHERE s.case_id = x.case_id AND s.poi_id = x.poi_id) AND (h.req_id IS NULL OR r.category_mode <> 'strict' OR m.poi_id IS NOT NULL OR (i.poi_id IS NOT NULL AND f.mc >= 0.35))""")
+# every POI that passes the filters counts for the largest distance, however its score
 add_view("v_r_final", """
-WITH near AS (SELECT *, sum(least(n, 2)) OVER (PARTITION BY case_id) AS have FROM (SELECT case_id, primary_category, count(*) AS n FROM v_r_screened WHERE score > 0 GROUP BY 1, 2)),
-ok AS (SELECT s.* FROM v_r_screened s LEFT JOIN (SELECT DISTINCT case_id, have FROM near) h ON h.case_id = s.case_id WHERE s.score > 0 OR COALESCE(h.have, 0) < s.k)
-SELECT case_id, poi_id, primary_category, k, round(CASE WHEN max(d) OVER g > 0 THEN score * (1 - 0.3 * d / (max(d) OVER g + 1e-8)) ELSE score END, 9) AS score, d FROM ok WINDOW g AS (PARTITION BY case_id)""")
+SELECT case_id, poi_id, primary_category, k, round(CASE WHEN max(d) OVER g > 0 THEN score * (1 - 0.3 * d / (max(d) OVER g + 1e-8)) ELSE score END, 9) AS score, d FROM v_r_screened WINDOW g AS (PARTITION BY case_id)""")
 add_view("v_recommend", """
 SELECT case_id, poi_id, rank, score, round(d, 6) AS distance_km, 'engines' AS source FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, poi_id) AS rank FROM
  (SELECT *, row_number() OVER (PARTITION BY case_id, primary_category ORDER BY score DESC, poi_id) AS cr FROM v_r_final) WHERE cr <= 2) WHERE rank <= k
@@ -172,7 +201,7 @@ UNION ALL SELECT case_id, poi_id, rank, score, NULL, 'popularity' FROM (SELECT r
 
 @shared
 def built(t):
-    return rec.build_features(t.visits, t.pois, t.poi_categories)
+    return rec.build_features(t.visits, t.pois, t.poi_categories, item_vectors=t.item_vectors, factors=(t.user_vectors, t.item_vectors))
 
 
 @query("recommend", "SELECT case_id, poi_id, rank, score, distance_km, source FROM v_recommend")

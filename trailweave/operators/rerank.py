@@ -64,6 +64,21 @@ def preference_matches(labels: DataFrame, tokens: DataFrame, wanted_intents: Dat
     return by_name.unionByName(by_intent).groupBy("case_id", "label").agg(F.bool_or("pref_match").alias("pref_match"), F.bool_or("intent_match").alias("intent_match"))
 
 
+def strict_match() -> Column:
+    """Whether a strict request keeps a label that matches it: by name, or by an intent that is sure enough."""
+    return F.coalesce("pref_match", F.lit(False)) | (F.coalesce("intent_match", F.lit(False)) & (F.coalesce("max_conf", F.lit(0.0)) >= STRICT_MIN_CONF))
+
+
+def kth_best(rows: DataFrame, max_per_category: int) -> DataFrame:
+    """(case_id, floor): the k-th best score of each case, or of its better ``side``, under the cap per category; none where there are fewer than k.
+
+    ``rows`` is (case_id, side, k, diversify, primary_category, score).
+    """
+    capped = top_per_group(rows.where("diversify"), ["case_id", "side", "primary_category"], [F.col("score").desc()], max_per_category, "_cr").drop("_cr")
+    best = top_per_group(rows.where(~F.col("diversify")).unionByName(capped), ["case_id", "side"], [F.col("score").desc()], "k")
+    return best.where(F.col("rank") == F.col("k")).groupBy("case_id").agg(F.max("score").alias("floor"))
+
+
 def label_facts(labels: DataFrame) -> DataFrame:
     """(label, only_inconclusive, max_conf) from (label, name, intent, confidence)."""
     return labels.groupBy("label").agg(F.bool_and(F.col("intent") == "inconclusive").alias("only_inconclusive"), F.max("confidence").alias("max_conf"))
@@ -77,14 +92,18 @@ def apply_preferences(rows: DataFrame, facts: DataFrame, matches: DataFrame, sco
     oi = F.coalesce("only_inconclusive", F.lit(False))
     s = F.col(score) * F.when(pm, 1.0 + CATEGORY_BOOST).otherwise(1.0)
     soft = s * F.when(im, 1.0 + INTENT_BOOST).otherwise(1.0) * F.when(oi, INCONCLUSIVE_FACTOR).otherwise(1.0)
-    keep = ~F.col("has_prefs") | ~strict | pm | (im & (F.coalesce("max_conf", F.lit(0.0)) >= STRICT_MIN_CONF))
+    keep = ~F.col("has_prefs") | ~strict | strict_match()
     return out.where(keep).withColumn(
         score, F.when(~F.col("has_prefs"), F.col(score)).when(strict, s).otherwise(soft)).drop("only_inconclusive", "max_conf", "pref_match", "intent_match")
 
 
-def rerank_distance(rows: DataFrame, weight: Column, keys: list[str] | None = None) -> DataFrame:
-    """score * (1 - weight * d / (largest d + 1e-8)) for groups with a location; d is ``distance_km``."""
+def rerank_distance(rows: DataFrame, weight: Column, keys: list[str] | None = None, far: str | None = None) -> DataFrame:
+    """score * (1 - weight * d / (largest d + 1e-8)) for groups with a location; d is ``distance_km``.
+
+    The largest d is that of the rows, or the value of column ``far`` where it is not null: rows may then be a part of the candidates.
+    """
     keys = keys or ["case_id"]
-    far = attach(rows, keys, F.max("distance_km").alias("_far"))
+    biggest = F.max("distance_km") if far is None else F.coalesce(F.max(far), F.max("distance_km"))
+    scaled = attach(rows, keys, biggest.alias("_far"))
     factor = 1.0 - weight * F.col("distance_km") / (F.col("_far") + 1e-8)
-    return far.withColumn("score", F.when(F.col("_far") > 0, F.col("score") * factor).otherwise(F.col("score"))).drop("_far")
+    return scaled.withColumn("score", F.when(F.col("_far") > 0, F.col("score") * factor).otherwise(F.col("score"))).drop("_far")

@@ -1,9 +1,13 @@
 """Recommendations for a whole table of requests.
 
-Candidates come from two sides. Sparse engines (co-visit, Markov) give (case, POI) rows.
+Candidates come from two sides. Sparse engines (co-visit, Markov, embeddings, factors) give (case, POI) rows.
 Content similarity is constant over a POI class - same category names, primary category,
 price tier and free flag - so filters, boosts and scores are worked out per (case, class) and
 only the members that can reach the result are expanded to POIs.
+
+Both sides are cut before they meet: from each engine's best rows and the best classes every case gets a floor that its k-th result
+cannot fall below, and rows and classes whose bound does not reach the floor are dropped. What distances are divided
+by, the farthest of all POIs that pass a request's filters, is found by branch and bound and not from the candidates.
 """
 from __future__ import annotations
 
@@ -11,6 +15,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
+from trailweave.functions.farthest import farthest
 from trailweave.functions.geo import haversine_km
 from trailweave.functions.numeric import r9, top_per_group, by_score
 from trailweave.functions.sequence import positions
@@ -26,7 +31,12 @@ class RecommendParams:
     backoff: float = 0.3
     hub_alpha: float = 0.5
     snap_radius_km: float = 0.3
+    embed_topn: int = 2000
+    embed_context_n: int = 3
+    embed_hub_alpha: float = 0.0
+    als_topn: int = 500
     max_per_category: int = 2
+    floor_rows: int = 64  # rows of each engine that a case's floor is worked out from
     excluded: list[str] = field(default_factory=lambda: list(rerank.EXCLUDED_CATEGORIES))
 
 
@@ -46,9 +56,15 @@ class Features:
     poi_class: DataFrame
     classes: DataFrame
     labels: DataFrame
+    item_vectors: DataFrame | None = None
+    factors: tuple[DataFrame, DataFrame] | None = None
 
 
-def build_features(visits: DataFrame, pois: DataFrame, cats: DataFrame, p: RecommendParams | None = None) -> Features:
+def build_features(
+    visits: DataFrame, pois: DataFrame, cats: DataFrame, p: RecommendParams | None = None,
+    item_vectors: DataFrame | None = None, factors: tuple[DataFrame, DataFrame] | None = None,
+) -> Features:
+    """``item_vectors`` (poi_id, vec) and ``factors`` ((user_id, vec), (poi_id, vec)) bring in the embedding and factor engines."""
     p = p or RecommendParams()
     pois = pois if "scope" in pois.columns else pois.withColumn("scope", F.lit("ALL"))
     vectors, sig_of = map(materialize, features.tfidf_by_signature(cats, pois))
@@ -71,7 +87,7 @@ def build_features(visits: DataFrame, pois: DataFrame, cats: DataFrame, p: Recom
     return Features(
         visits, pois, materialize(features.item_counts(visits)), vectors, sig_of, materialize(features.cooccurrence(visits)),
         materialize(tr.transitions_poi(visits)), materialize(tr.transitions_order2(visits)), materialize(tr.transitions_cat(visits, pois)),
-        poi_class, classes, labels)
+        poi_class, classes, labels, item_vectors, factors)
 
 
 def parse_requests(requests: DataFrame, mode: str = "hybrid", distance_weight: float = 0.3, diversify: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -95,6 +111,61 @@ def sequence_context(reqs: DataFrame, f: Features, p: RecommendParams) -> DataFr
     return rows.select("case_id", "scope", "user_id", cur.alias("current_poi"), tr.prev_poi(F.col("last_items"), cur).alias("prev_poi"))
 
 
+def engine_rows(reqs: DataFrame, cases: DataFrame, history: DataFrame, f: Features, p: RecommendParams) -> DataFrame:
+    """(case_id, engine, poi_id, score): what the sparse engines give, each scaled to a largest score of one, known POIs only."""
+    def in_mode(df: DataFrame, engine: str) -> DataFrame:
+        return df.join(reqs.where(F.col("mode").isin("hybrid", engine)).select("case_id"), "case_id", "left_semi")
+
+    parts = {"item": eng.item_score(in_mode(history, "item"), f.cooc)}
+    mcases = in_mode(cases, "markov")
+    chain = materialize(eng.markov2_backoff(mcases, f.trans1, f.trans2, p.markov_topn, p.backoff))
+    chain = chain.unionByName(eng.markov_cat_fallback(mcases, chain, f.trans_cat, f.pois))
+    parts["markov"] = eng.hub_penalty(chain, f.counts, p.hub_alpha)
+    given = reqs.select("case_id", "scope", "user_id", "current_poi")  # a POI snapped from coordinates is no context
+    if f.item_vectors is not None:
+        ecases = in_mode(given, "embed")
+        recent = ecases.select("case_id", "user_id").join(tr.user_history(f.visits.join(ecases.select("user_id").distinct(), "user_id", "left_semi")), "user_id").select("case_id", "pos", "poi_id")
+        context = tr.last_n_rows(recent, ecases.select("case_id", "current_poi"), p.embed_context_n).select("case_id", "poi_id")
+        embed = eng.embed_select(ecases, materialize(context), in_mode(history, "embed"), f.item_vectors, p.embed_topn)
+        parts["embed"] = eng.hub_penalty(embed, f.counts, p.embed_hub_alpha)
+    if f.factors is not None:
+        parts["als"] = eng.als_score(in_mode(given, "als"), in_mode(history, "als"), *f.factors, p.als_topn)
+    rows = None
+    for engine, scores in parts.items():
+        one = eng.max_normalize(materialize(scores.select("case_id", "poi_id", "score"))).select("case_id", F.lit(engine).alias("engine"), "poi_id", "score")
+        rows = one if rows is None else rows.unionByName(one)
+    return materialize(rows.join(cases.select("case_id", "scope"), "case_id").join(f.pois.select("scope", "poi_id"), ["scope", "poi_id"], "left_semi"))
+
+
+def filter_trees(info: DataFrame, seen: DataFrame, f: Features, facts: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(queries, points, gone) of ``farthest`` for cases with a location whose candidates are all POIs that have categories.
+
+    A tree holds the POIs that pass one price and free filter, for a strict request those of one label; requests with the
+    same filter share it, and only trees that some request looks in are filled.
+    """
+    tiers = f.poi_class.agg(F.coalesce(F.min("price_tier"), F.lit(0)).alias("lo"), F.coalesce(F.max("price_tier"), F.lit(0)).alias("hi")).first()
+    lo, hi = int(tiers["lo"]) - 1, int(tiers["hi"])
+    tier = F.greatest(F.lit(lo), F.least(F.lit(hi), F.coalesce("max_price_tier", F.lit(hi)))).cast("int")
+    free = F.when(F.col("free_only").isNull(), 0).when(F.col("free_only"), 1).otherwise(2)
+    strict = F.col("has_prefs") & (F.col("category_mode") == "strict")
+    asked = info.select("case_id", "scope", F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"), free.alias("free"), tier.alias("tier"), strict.alias("strict"))
+    sure = matches.join(facts.select("label", "max_conf"), "label").where(rerank.strict_match()).select("case_id", "label")
+    open_cases = asked.where("not strict").withColumn("label", F.lit(-1))
+    wanted = materialize(open_cases.unionByName(asked.where("strict").join(sure, "case_id")).drop("strict"))
+    keys = ["scope", "free", "tier", "label"]
+    used = wanted.select(*keys).distinct()
+    placed = f.poi_class.where("sig > 0").join(f.pois.select("poi_id", "lat", "lon"), "poi_id")
+    own = F.when(F.coalesce("is_free", F.lit(False)), 1).otherwise(2)
+    passing = placed.select("scope", "poi_id", "lat", "lon", "label", F.explode(F.array(F.lit(0), own)).alias("free"), "price_tier").withColumn(
+        "tier", F.explode(F.sequence(F.coalesce("price_tier", F.lit(lo)).cast("int"), F.lit(hi)))).drop("price_tier")
+    tree = F.concat_ws("|", *keys).alias("tree")
+    both = passing.withColumn("label", F.lit(-1)).unionByName(passing).join(used, keys, "left_semi")
+    members = materialize(both.select(tree, "poi_id", "lat", "lon"))
+    queries = wanted.select("case_id", tree, "q_lat", "q_lon")
+    gone = seen.join(queries.select("case_id", "tree"), "case_id").join(members, ["tree", "poi_id"]).groupBy("case_id", "tree", "lat", "lon").agg(F.count("*").alias("m"))
+    return queries, members.groupBy("tree", "lat", "lon").agg(F.count("*").alias("n")), gone
+
+
 def recommend(reqs: DataFrame, tokens: DataFrame, f: Features, p: RecommendParams | None = None) -> DataFrame:
     """(case_id, rank, poi_id, score, distance_km, source) for every request.
 
@@ -106,26 +177,16 @@ def recommend(reqs: DataFrame, tokens: DataFrame, f: Features, p: RecommendParam
     cases = materialize(sequence_context(reqs, f, p))
     history = materialize(reqs.select("case_id", "user_id").join(features.interactions(f.visits), "user_id").select("case_id", "poi_id", "n"))
     current = reqs.where("current_poi IS NOT NULL").select("case_id", F.col("current_poi").alias("poi_id"))
-    seen = history.select("case_id", "poi_id").unionByName(current).distinct()
-    in_mode = lambda *m: reqs.where(F.col("mode").isin(*m)).select("case_id")
+    seen = materialize(history.select("case_id", "poi_id").unionByName(current).distinct())
 
-    content_cases = cases.join(in_mode("hybrid", "content"), "case_id", "left_semi")
+    content_cases = cases.join(reqs.where(F.col("mode").isin("hybrid", "content")).select("case_id"), "case_id", "left_semi")
     reach = materialize(eng.content_reach(content_cases, history.join(content_cases.select("case_id"), "case_id", "left_semi"), seen, f.vectors, f.sig_of))
-    item = eng.item_score(history.join(in_mode("hybrid", "item"), "case_id", "left_semi"), f.cooc)
-    mcases = cases.join(in_mode("hybrid", "markov"), "case_id", "left_semi")
-    chain = materialize(eng.markov2_backoff(mcases, f.trans1, f.trans2, p.markov_topn, p.backoff))
-    chain = chain.unionByName(eng.markov_cat_fallback(mcases, chain, f.trans_cat, f.pois))
-    chain = eng.hub_penalty(chain, f.counts, p.hub_alpha)
-    sparse = None
-    for name, rows in (("item", item), ("markov", chain)):
-        one = eng.max_normalize(rows.select("case_id", "poi_id", "score")).select("case_id", F.lit(name).alias("engine"), "poi_id", "score")
-        sparse = one if sparse is None else sparse.unionByName(one)
-    known = f.pois.select("scope", "poi_id")
-    sparse = materialize(sparse.join(cases.select("case_id", "scope"), "case_id").join(known, ["scope", "poi_id"], "left_semi"))
+    sparse = engine_rows(reqs, cases, history, f, p)
 
+    models = sparse.where(F.col("engine").isin("embed", "als")).groupBy("case_id").agg(
+        F.bool_or(F.col("engine") == "embed").alias("has_embed"), F.bool_or(F.col("engine") == "als").alias("has_als"))
     flags = cases.select("case_id", F.col("current_poi").isNotNull().alias("has_current")).join(
-        history.groupBy("case_id").agg(F.lit(True).alias("has_user")), "case_id", "left").select(
-        "case_id", "has_user", "has_current", F.lit(False).alias("has_embed"), F.lit(False).alias("has_als"))
+        history.groupBy("case_id").agg(F.lit(True).alias("has_user")), "case_id", "left").join(models, "case_id", "left")
     weights = fusion.weight_selection(flags).select("case_id", "weights").join(reqs.select("case_id", "mode"), "case_id")
     one_each = F.array(*[F.lit(1.0)] * 5)
     weights = weights.select("case_id", F.when(F.col("mode") == "hybrid", F.col("weights")).otherwise(one_each).alias("weights"))
@@ -134,62 +195,101 @@ def recommend(reqs: DataFrame, tokens: DataFrame, f: Features, p: RecommendParam
     matches = materialize(rerank.preference_matches(f.labels, tokens, wanted))
     facts = rerank.label_facts(f.labels)
     with_prefs = tokens.select("case_id").distinct().withColumn("_p", F.lit(True))
-    info = materialize(reqs.join(with_prefs, "case_id", "left").join(weights, "case_id").select(
+    profiles = materialize(reach.select("case_id", "scope").distinct())
+    asked = materialize(reqs.join(with_prefs, "case_id", "left").join(weights, "case_id").join(profiles.select("case_id", F.lit(True).alias("_all")), "case_id", "left").select(
         "case_id", "scope", "k", "lat", "lon", "distance_weight", "diversify", "free_only", "max_price_tier", "category_mode",
-        F.coalesce("_p", F.lit(False)).alias("has_prefs"), "weights"))
+        F.coalesce("_p", F.lit(False)).alias("has_prefs"), F.coalesce("_all", F.lit(False)).alias("has_content"), "weights"))
+    located = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    far = farthest(*filter_trees(asked.where(located & F.col("has_content")), seen, f, facts, matches))
+    info = materialize(asked.join(far, "case_id", "left"))
 
-    def screened(rows):
+    def screened(rows: DataFrame) -> DataFrame:
         """Rows with class attributes: price and free filter, then preference boosts or filter."""
         return rerank.apply_preferences(rows.where(rerank.price_free_filter()), facts, matches)
 
     sims = reach.select("case_id", "sig", F.when(F.col("top") > 0, F.col("score") / F.col("top")).alias("_c"))
-    near = sparse.join(info.select("case_id", "weights"), "case_id").groupBy("case_id", "scope", "poi_id", "weights").agg(
-        F.sum(F.col("score") * fusion.weight_of(F.col("weights"), F.col("engine"))).alias("score"))
-    near = near.join(f.poi_class.drop("pos"), ["scope", "poi_id"]).join(sims, ["case_id", "sig"], "left")
-    near = near.withColumn("score", F.col("score") + F.col("weights")[0] * F.coalesce("_c", F.lit(0.0))).drop("_c", "weights")
-    near = eng.exclude(screened(near.join(info.drop("scope"), "case_id")), seen)
+    place = f.pois.select("poi_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    term = F.col("score") * fusion.weight_of(F.col("weights"), F.col("engine"))
+    weighed = sparse.join(info.select("case_id", "weights"), "case_id").select("case_id", "scope", "engine", "poi_id", term.alias("score"))
+
+    def near_rows(sums: DataFrame) -> DataFrame:
+        """(case, POI) sums of sparse engines with the content part, filters and boosts; seen POIs left out."""
+        near = sums.join(f.poi_class.drop("pos"), ["scope", "poi_id"]).join(sims, ["case_id", "sig"], "left").join(info.drop("scope"), "case_id")
+        near = near.withColumn("score", F.col("score") + F.col("weights")[0] * F.coalesce("_c", F.lit(0.0))).drop("_c")
+        return eng.exclude(screened(near), seen)
+
+    similar = reach.select("case_id", "scope", "sig", (F.col("score") / F.col("top")).alias("score")).join(f.classes, ["scope", "sig"]).join(info.drop("scope"), "case_id")
+    similar = materialize(screened(similar.withColumn("score", F.col("score") * F.col("weights")[0])).select("case_id", "scope", "cls", "n_pois", "k", "lat", "lon", "distance_weight", "diversify", "score", "primary_category"))
+
+    # floors: the k-th of what a case is sure to have
+    worst = F.when(located, 1 - F.col("distance_weight")).otherwise(1.0)
+    gone = seen.join(info.select("case_id", "scope"), "case_id").join(f.poi_class.select("scope", "poi_id", "cls"), ["scope", "poi_id"]).groupBy("case_id", "cls").agg(F.count("*").alias("_gone"))
+    sure = similar.select("case_id", "cls", "n_pois", "k", "diversify", "primary_category", (F.col("score") * worst).alias("score")).join(gone, ["case_id", "cls"], "left")
+    sure = sure.withColumn("_free", F.col("n_pois") - F.coalesce("_gone", F.lit(0))).where("_free > 0")
+    some = F.least(F.col("_free"), F.when(F.col("diversify"), F.lit(p.max_per_category)).otherwise(F.col("k"))).cast("int")
+    sure = sure.select("case_id", F.lit(-1).cast("long").alias("poi_id"), "k", "diversify", "primary_category", "score", F.explode(F.sequence(F.lit(1), some)).alias("_i"))
+    strong = top_per_group(weighed, ["case_id", "engine"], by_score(), p.floor_rows).groupBy("case_id", "scope", "poi_id").agg(F.sum("score").alias("score"))
+    strong = near_rows(strong).join(place, "poi_id")
+    apart = haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))
+    drop = F.when(located, 1 - F.col("distance_weight") * F.when(F.col("far") > 0, apart / (F.col("far") + 1e-8)).otherwise(F.lit(1.0))).otherwise(1.0)
+    strong = strong.select("case_id", "poi_id", "k", "diversify", "primary_category", (F.col("score") * drop).alias("score"), F.lit(0).alias("_i"))
+    floors = materialize(rerank.kth_best(_one_per_place(sure, strong), p.max_per_category))
+
+    # what cannot reach the floor goes; a case whose divisor is that of its own candidates keeps them all
+    sums = materialize(weighed.groupBy("case_id", "scope", "poi_id").agg(F.sum("score").alias("score")))
+    best_boost = F.when(F.col("has_prefs"), (1 + rerank.CATEGORY_BOOST) * F.when(F.col("category_mode") == "strict", 1.0).otherwise(1 + rerank.INTENT_BOOST)).otherwise(1.0)
+    limits = info.join(floors, "case_id", "left").select(
+        "case_id", (best_boost * F.when(F.col("has_content"), F.col("weights")[0]).otherwise(0.0)).alias("_more"), best_boost.alias("_boost"),
+        F.when(located & ~F.col("has_content"), F.lit(float("-inf"))).otherwise(F.coalesce("floor", F.lit(float("-inf")))).alias("_floor"))
+    reaching = sums.join(limits, "case_id").where(F.col("score") * F.col("_boost") + F.col("_more") >= F.col("_floor") - SLACK).drop("_more", "_boost", "_floor")
     cols = ["case_id", "poi_id", "score", "primary_category"]
-    near = materialize(near.select(*cols))
+    kept = materialize(near_rows(reaching).select("case_id", "scope", "cls", "poi_id", "score", "primary_category"))
 
     # members of a class that are seen or already candidates on the sparse side
-    taken = seen.unionByName(sparse.select("case_id", "poi_id")).distinct()
+    taken = materialize(seen.unionByName(reaching.select("case_id", "poi_id")).distinct())
     used = taken.join(info.select("case_id", "scope"), "case_id").join(f.poi_class.select("scope", "poi_id", "cls"), ["scope", "poi_id"]).groupBy("case_id", "cls").agg(F.count("*").alias("_used"))
-    located = F.col("lat").isNotNull() & F.col("lon").isNotNull()
 
-    def members(rows):
-        """Expand (case, class) rows; without a location only the first members by id can matter."""
+    def members(rows: DataFrame, by_distance: Column) -> DataFrame:
+        """Expand (case, class) rows; where distance doesn't decide only the first members by id can matter."""
         sized = rows.join(used, ["case_id", "cls"], "left").fillna(0, ["_used"])
-        upto = F.when(located, F.col("n_pois")).otherwise(F.least(F.col("n_pois"), F.col("_used") + F.col("k"))).cast("long")
-        asked = sized.select("case_id", "scope", "cls", "score", "primary_category", upto.alias("upto"))
-        return eng.exclude(eng.expand_classes(asked, f.poi_class.select("scope", "cls", "poi_id", "pos"), "cls"), taken).select(*cols)
+        upto = F.when(by_distance, F.col("n_pois")).otherwise(F.least(F.col("n_pois"), F.col("_used") + F.col("k"))).cast("long")
+        spread = sized.select("case_id", "scope", "cls", "score", "primary_category", upto.alias("upto"))
+        return eng.exclude(eng.expand_classes(spread, f.poi_class.select("scope", "cls", "poi_id", "pos"), "cls"), taken).select(*cols)
 
-    similar = reach.select("case_id", "scope", "sig", (F.col("score") / F.col("top")).alias("score")).join(f.classes, ["scope", "sig"]).join(info.drop("scope"), "case_id")
-    similar = similar.withColumn("score", F.col("score") * F.col("weights")[0])
-    cand = near.unionByName(members(screened(similar)))
-    cand = materialize(cand)
+    chosen = similar.join(limits.select("case_id", "_floor"), "case_id").where(F.col("score") >= F.col("_floor") - SLACK)
+    cand = materialize(kept.select(*cols).unionByName(members(chosen, located)))
     # cases with too few candidates also take POIs of dissimilar classes, at score zero
-    per_cat = cand.groupBy("case_id", "primary_category").agg(F.count("*").alias("_n")).join(info.select("case_id", "k", "diversify"), "case_id")
+    per_cat = cand.where("score > 0").groupBy("case_id", "primary_category").agg(F.count("*").alias("_n")).join(info.select("case_id", "k", "diversify"), "case_id")
     filled = per_cat.groupBy("case_id").agg(F.sum(F.when(F.col("diversify"), F.least("_n", F.lit(p.max_per_category))).otherwise(F.col("_n"))).alias("_have"))
-    profiles = reach.select("case_id", "scope").distinct()
-    short = profiles.join(info.select("case_id", "k"), "case_id").join(filled, "case_id", "left").where(F.coalesce("_have", F.lit(0)) < F.col("k")).select("case_id", "scope")
-    zero = short.join(f.classes, "scope").join(reach.select("case_id", "sig"), ["case_id", "sig"], "left_anti").withColumn("score", F.lit(0.0)).join(info.drop("scope"), "case_id")
-    cand = cand.unionByName(members(screened(zero)))
+    heavy = located & (F.col("distance_weight") >= 1)  # then even a similar POI can come to nothing
+    short = profiles.join(info.select("case_id", "k", "lat", "lon", "distance_weight"), "case_id").join(filled, "case_id", "left").where((F.coalesce("_have", F.lit(0)) < F.col("k")) | heavy).select("case_id", "scope")
+    zero = short.join(f.classes.where("sig > 0"), "scope").join(reach.select("case_id", "sig"), ["case_id", "sig"], "left_anti").withColumn("score", F.lit(0.0)).join(info.drop("scope"), "case_id")
+    cand = cand.unionByName(members(screened(zero), F.lit(False)))
 
-    place = f.pois.select("poi_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
-    cand = cand.join(info.select("case_id", "k", "lat", "lon", "distance_weight", "diversify"), "case_id").join(place, "poi_id")
-    cand = cand.withColumn("distance_km", haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")))
-    scored = rerank.rerank_distance(cand, F.col("distance_weight")).withColumn("score", r9("score"))
+    cand = cand.join(info.select("case_id", "k", "lat", "lon", "distance_weight", "diversify", "far"), "case_id").join(place, "poi_id")
+    cand = cand.withColumn("distance_km", apart)
+    scored = rerank.rerank_distance(cand, F.col("distance_weight"), far="far").withColumn("score", r9("score"))
     keep = ["case_id", "poi_id", "score", "distance_km", "k", "primary_category"]
     plain = scored.where(~F.col("diversify")).select(*keep)
     varied = top_per_group(scored.where("diversify").select(*keep), ["case_id", "primary_category"], by_score(), p.max_per_category, "_cr").drop("_cr")
     best = top_per_group(plain.unionByName(varied), ["case_id"], by_score(), "k")
 
-    nothing = cases.join(sparse.select("case_id").distinct(), "case_id", "left_anti").join(profiles, "case_id", "left_anti").join(info.select("case_id", "k"), "case_id")
+    nothing = cases.join(sums.select("case_id").distinct(), "case_id", "left_anti").join(profiles, "case_id", "left_anti").join(info.select("case_id", "k"), "case_id")
     backup = eng.popularity_fallback(nothing, f.pois, F.col("k"))
     backup = top_per_group(backup.join(info.select("case_id", "k"), "case_id"), ["case_id"], by_score(), "k")
     return best.select("case_id", "rank", "poi_id", "score", "distance_km", F.lit("engines").alias("source")).unionByName(
         backup.select("case_id", "rank", "poi_id", "score", F.lit(None).cast("double").alias("distance_km"), F.lit("popularity").alias("source")))
 
 
+#: How far rounding of scores to nine digits can move a bound.
+SLACK = 1e-8
+
+
+def _one_per_place(sure: DataFrame, strong: DataFrame) -> DataFrame:
+    """Class members and single POIs a case is sure of, without counting one POI on both sides: classes alone where they have the better k-th value."""
+    return sure.select("case_id", F.lit("classes").alias("side"), "k", "diversify", "primary_category", "score").unionByName(
+        strong.select("case_id", F.lit("pois").alias("side"), "k", "diversify", "primary_category", "score"))
+
+
 def with_details(recs: DataFrame, pois: DataFrame) -> DataFrame:
     return recs.join(pois.select("poi_id", "name", "city_id", "primary_category", "rating", "price_tier", "is_free", "lat", "lon"), "poi_id", "left")
