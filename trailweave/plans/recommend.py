@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from trailweave.functions.farthest import farthest
 from trailweave.functions.geo import haversine_km
@@ -111,8 +111,8 @@ def sequence_context(reqs: DataFrame, f: Features, p: RecommendParams) -> DataFr
     return rows.select("case_id", "scope", "user_id", cur.alias("current_poi"), tr.prev_poi(F.col("last_items"), cur).alias("prev_poi"))
 
 
-def engine_rows(reqs: DataFrame, cases: DataFrame, history: DataFrame, f: Features, p: RecommendParams) -> DataFrame:
-    """(case_id, engine, poi_id, score): what the sparse engines give, each scaled to a largest score of one, known POIs only."""
+def engine_rows(reqs: DataFrame, cases: DataFrame, history: DataFrame, f: Features, p: RecommendParams) -> dict[str, DataFrame]:
+    """By engine (case_id, poi_id, score): what the sparse engines give, each scaled to a largest score of one."""
     def in_mode(df: DataFrame, engine: str) -> DataFrame:
         return df.join(reqs.where(F.col("mode").isin("hybrid", engine)).select("case_id"), "case_id", "left_semi")
 
@@ -130,11 +130,17 @@ def engine_rows(reqs: DataFrame, cases: DataFrame, history: DataFrame, f: Featur
         parts["embed"] = eng.hub_penalty(embed, f.counts, p.embed_hub_alpha)
     if f.factors is not None:
         parts["als"] = eng.als_score(in_mode(given, "als"), in_mode(history, "als"), *f.factors, p.als_topn)
-    rows = None
-    for engine, scores in parts.items():
-        one = eng.max_normalize(materialize(scores.select("case_id", "poi_id", "score"))).select("case_id", F.lit(engine).alias("engine"), "poi_id", "score")
-        rows = one if rows is None else rows.unionByName(one)
-    return materialize(rows.join(cases.select("case_id", "scope"), "case_id").join(f.pois.select("scope", "poi_id"), ["scope", "poi_id"], "left_semi"))
+    return {engine: eng.max_normalize(materialize(scores.select("case_id", "poi_id", "score"))) for engine, scores in parts.items()}
+
+
+def strongest(rows: DataFrame, n: int) -> DataFrame:
+    """Up to ``n`` of the best rows of every case, without sorting rows: those above the lowest of 256 steps of the score that
+    leaves no more. Ties that would exceed n are left out together."""
+    step = F.least(F.lit(255), F.floor(F.col("score") * 256)).cast("int")
+    counts = rows.groupBy("case_id", step.alias("_s")).agg(F.count("*").alias("_n"))
+    down = W.partitionBy("case_id").orderBy(F.desc("_s")).rowsBetween(W.unboundedPreceding, 0)
+    lowest = counts.withColumn("_upto", F.sum("_n").over(down)).where(F.col("_upto") <= n).groupBy("case_id").agg(F.min("_s").alias("_low"))
+    return rows.join(lowest, "case_id").where(step >= F.col("_low")).drop("_low")
 
 
 def filter_trees(info: DataFrame, seen: DataFrame, f: Features, facts: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -181,12 +187,23 @@ def recommend(reqs: DataFrame, tokens: DataFrame, f: Features, p: RecommendParam
 
     content_cases = cases.join(reqs.where(F.col("mode").isin("hybrid", "content")).select("case_id"), "case_id", "left_semi")
     reach = materialize(eng.content_reach(content_cases, history.join(content_cases.select("case_id"), "case_id", "left_semi"), seen, f.vectors, f.sig_of))
-    sparse = engine_rows(reqs, cases, history, f, p)
-
-    models = sparse.where(F.col("engine").isin("embed", "als")).groupBy("case_id").agg(
-        F.bool_or(F.col("engine") == "embed").alias("has_embed"), F.bool_or(F.col("engine") == "als").alias("has_als"))
+    engines = engine_rows(reqs, cases, history, f, p)
+    known = f.pois.select("scope", "poi_id")
+    scoped = cases.select("case_id", "scope")
+
+    def in_scope(rows: DataFrame) -> DataFrame:
+        return rows.join(scoped, "case_id").join(known, ["scope", "poi_id"], "left_semi")
+
+    # the co-visit engine has by far the most rows, so the others are summed up first
+    others = None
+    for engine in engines.keys() - {"item"}:
+        one = in_scope(engines[engine]).withColumn("engine", F.lit(engine))
+        others = one if others is None else others.unionByName(one)
+    others = materialize(others)
     flags = cases.select("case_id", F.col("current_poi").isNotNull().alias("has_current")).join(
-        history.groupBy("case_id").agg(F.lit(True).alias("has_user")), "case_id", "left").join(models, "case_id", "left")
+        history.groupBy("case_id").agg(F.lit(True).alias("has_user")), "case_id", "left")
+    for engine in ("embed", "als"):
+        flags = flags.join(others.where(F.col("engine") == engine).select("case_id").distinct().withColumn(f"has_{engine}", F.lit(True)), "case_id", "left")
     weights = fusion.weight_selection(flags).select("case_id", "weights").join(reqs.select("case_id", "mode"), "case_id")
     one_each = F.array(*[F.lit(1.0)] * 5)
     weights = weights.select("case_id", F.when(F.col("mode") == "hybrid", F.col("weights")).otherwise(one_each).alias("weights"))
@@ -209,8 +226,10 @@ def recommend(reqs: DataFrame, tokens: DataFrame, f: Features, p: RecommendParam
 
     sims = reach.select("case_id", "sig", F.when(F.col("top") > 0, F.col("score") / F.col("top")).alias("_c"))
     place = f.pois.select("poi_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
-    term = F.col("score") * fusion.weight_of(F.col("weights"), F.col("engine"))
-    weighed = sparse.join(info.select("case_id", "weights"), "case_id").select("case_id", "scope", "engine", "poi_id", term.alias("score"))
+    shares = info.select("case_id", "weights")
+    weighed = others.join(shares, "case_id").select("case_id", "scope", "engine", "poi_id", (F.col("score") * fusion.weight_of(F.col("weights"), F.col("engine"))).alias("score"))
+    item_weight = F.col("weights")[fusion.ENGINES.index("item")]
+    item = engines["item"]
 
     def near_rows(sums: DataFrame) -> DataFrame:
         """(case, POI) sums of sparse engines with the content part, filters and boosts; seen POIs left out."""
@@ -221,14 +240,19 @@ def recommend(reqs: DataFrame, tokens: DataFrame, f: Features, p: RecommendParam
     similar = reach.select("case_id", "scope", "sig", (F.col("score") / F.col("top")).alias("score")).join(f.classes, ["scope", "sig"]).join(info.drop("scope"), "case_id")
     similar = materialize(screened(similar.withColumn("score", F.col("score") * F.col("weights")[0])).select("case_id", "scope", "cls", "n_pois", "k", "lat", "lon", "distance_weight", "diversify", "score", "primary_category"))
 
-    # floors: the k-th of what a case is sure to have
+    # floors: the k-th of what a case is sure to have; a POI that the others score below zero is worth less than its class
+    sums = materialize(weighed.groupBy("case_id", "scope", "poi_id").agg(F.sum("score").alias("score")))
+    below = materialize(sums.where("score < 0"))
+    best_items = materialize(in_scope(strongest(item, p.floor_rows)).join(shares, "case_id").select("case_id", "scope", "poi_id", (F.col("score") * item_weight).alias("score")))
+    strong = strongest(sums, p.floor_rows).unionByName(best_items).unionByName(below.join(best_items.select("case_id", "poi_id"), ["case_id", "poi_id"], "left_semi"))
+    strong = strong.groupBy("case_id", "scope", "poi_id").agg(F.sum("score").alias("score"))
     worst = F.when(located, 1 - F.col("distance_weight")).otherwise(1.0)
-    gone = seen.join(info.select("case_id", "scope"), "case_id").join(f.poi_class.select("scope", "poi_id", "cls"), ["scope", "poi_id"]).groupBy("case_id", "cls").agg(F.count("*").alias("_gone"))
+    lesser = seen.unionByName(below.select("case_id", "poi_id")).distinct()
+    gone = lesser.join(info.select("case_id", "scope"), "case_id").join(f.poi_class.select("scope", "poi_id", "cls"), ["scope", "poi_id"]).groupBy("case_id", "cls").agg(F.count("*").alias("_gone"))
     sure = similar.select("case_id", "cls", "n_pois", "k", "diversify", "primary_category", (F.col("score") * worst).alias("score")).join(gone, ["case_id", "cls"], "left")
     sure = sure.withColumn("_free", F.col("n_pois") - F.coalesce("_gone", F.lit(0))).where("_free > 0")
     some = F.least(F.col("_free"), F.when(F.col("diversify"), F.lit(p.max_per_category)).otherwise(F.col("k"))).cast("int")
     sure = sure.select("case_id", F.lit(-1).cast("long").alias("poi_id"), "k", "diversify", "primary_category", "score", F.explode(F.sequence(F.lit(1), some)).alias("_i"))
-    strong = top_per_group(weighed, ["case_id", "engine"], by_score(), p.floor_rows).groupBy("case_id", "scope", "poi_id").agg(F.sum("score").alias("score"))
     strong = near_rows(strong).join(place, "poi_id")
     apart = haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))
     drop = F.when(located, 1 - F.col("distance_weight") * F.when(F.col("far") > 0, apart / (F.col("far") + 1e-8)).otherwise(F.lit(1.0))).otherwise(1.0)
@@ -236,17 +260,26 @@ def recommend(reqs: DataFrame, tokens: DataFrame, f: Features, p: RecommendParam
     floors = materialize(rerank.kth_best(_one_per_place(sure, strong), p.max_per_category))
 
     # what cannot reach the floor goes; a case whose divisor is that of its own candidates keeps them all
-    sums = materialize(weighed.groupBy("case_id", "scope", "poi_id").agg(F.sum("score").alias("score")))
     best_boost = F.when(F.col("has_prefs"), (1 + rerank.CATEGORY_BOOST) * F.when(F.col("category_mode") == "strict", 1.0).otherwise(1 + rerank.INTENT_BOOST)).otherwise(1.0)
-    limits = info.join(floors, "case_id", "left").select(
-        "case_id", (best_boost * F.when(F.col("has_content"), F.col("weights")[0]).otherwise(0.0)).alias("_more"), best_boost.alias("_boost"),
-        F.when(located & ~F.col("has_content"), F.lit(float("-inf"))).otherwise(F.coalesce("floor", F.lit(float("-inf")))).alias("_floor"))
-    reaching = sums.join(limits, "case_id").where(F.col("score") * F.col("_boost") + F.col("_more") >= F.col("_floor") - SLACK).drop("_more", "_boost", "_floor")
+    no_floor = F.lit(float("-inf"))
+    limits = materialize(info.join(floors, "case_id", "left").select(
+        "case_id", F.when(F.col("has_content"), F.col("weights")[0]).otherwise(0.0).alias("_content"), item_weight.alias("_item"),
+        F.when(located & ~F.col("has_content"), no_floor).otherwise((F.coalesce("floor", no_floor) - SLACK) / best_boost).alias("_floor")))
+    bounded = lambda rows, bound: rows.join(limits, "case_id").where(bound >= F.col("_floor")).drop("_content", "_item", "_floor")
+    # sums of the others need the floor with the best co-visit score; a co-visit score is added to those, or reaches it without them
+    likely = materialize(bounded(sums, F.col("score") + F.col("_item") + F.col("_content")))
+    marks = likely.select("case_id", "poi_id", F.lit(True).alias("_likely"))
+    marks = marks.unionByName(below.select("case_id", "poi_id").join(marks, ["case_id", "poi_id"], "left_anti").withColumn("_likely", F.lit(False)))
+    added = item.join(marks, ["case_id", "poi_id"], "left").join(limits, "case_id").where(
+        F.coalesce("_likely", F.col("score") * F.col("_item") + F.col("_content") >= F.col("_floor")))
+    added = in_scope(added.select("case_id", "poi_id", (F.col("score") * F.col("_item")).alias("score")))
+    total = likely.unionByName(added).groupBy("case_id", "scope", "poi_id").agg(F.sum("score").alias("score"))
+    reaching = materialize(bounded(total, F.col("score") + F.col("_content")))
     cols = ["case_id", "poi_id", "score", "primary_category"]
     kept = materialize(near_rows(reaching).select("case_id", "scope", "cls", "poi_id", "score", "primary_category"))
 
-    # members of a class that are seen or already candidates on the sparse side
-    taken = materialize(seen.unionByName(reaching.select("case_id", "poi_id")).distinct())
+    # members of a class that are seen, already candidates on the sparse side, or worth less than the class
+    taken = materialize(lesser.unionByName(reaching.select("case_id", "poi_id")).distinct())
     used = taken.join(info.select("case_id", "scope"), "case_id").join(f.poi_class.select("scope", "poi_id", "cls"), ["scope", "poi_id"]).groupBy("case_id", "cls").agg(F.count("*").alias("_used"))
 
     def members(rows: DataFrame, by_distance: Column) -> DataFrame:
@@ -256,7 +289,7 @@ def recommend(reqs: DataFrame, tokens: DataFrame, f: Features, p: RecommendParam
         spread = sized.select("case_id", "scope", "cls", "score", "primary_category", upto.alias("upto"))
         return eng.exclude(eng.expand_classes(spread, f.poi_class.select("scope", "cls", "poi_id", "pos"), "cls"), taken).select(*cols)
 
-    chosen = similar.join(limits.select("case_id", "_floor"), "case_id").where(F.col("score") >= F.col("_floor") - SLACK)
+    chosen = similar.join(floors, "case_id", "left").where(F.col("score") >= F.coalesce("floor", no_floor) - SLACK).drop("floor")
     cand = materialize(kept.select(*cols).unionByName(members(chosen, located)))
     # cases with too few candidates also take POIs of dissimilar classes, at score zero
     per_cat = cand.where("score > 0").groupBy("case_id", "primary_category").agg(F.count("*").alias("_n")).join(info.select("case_id", "k", "diversify"), "case_id")
@@ -274,7 +307,9 @@ def recommend(reqs: DataFrame, tokens: DataFrame, f: Features, p: RecommendParam
     varied = top_per_group(scored.where("diversify").select(*keep), ["case_id", "primary_category"], by_score(), p.max_per_category, "_cr").drop("_cr")
     best = top_per_group(plain.unionByName(varied), ["case_id"], by_score(), "k")
 
-    nothing = cases.join(sums.select("case_id").distinct(), "case_id", "left_anti").join(profiles, "case_id", "left_anti").join(info.select("case_id", "k"), "case_id")
+    bare = cases.join(profiles, "case_id", "left_anti").join(sums.select("case_id").distinct(), "case_id", "left_anti")
+    visited = in_scope(item.join(bare.select("case_id"), "case_id", "left_semi")).select("case_id").distinct()
+    nothing = bare.join(visited, "case_id", "left_anti").join(info.select("case_id", "k"), "case_id")
     backup = eng.popularity_fallback(nothing, f.pois, F.col("k"))
     backup = top_per_group(backup.join(info.select("case_id", "k"), "case_id"), ["case_id"], by_score(), "k")
     return best.select("case_id", "rank", "poi_id", "score", "distance_km", F.lit("engines").alias("source")).unionByName(
