@@ -329,3 +329,27 @@ def test_pruned_search_is_exact_and_leaves_most_pairs_out(spark, metric):
     assert len(got) == 120 * 10 + 3 * 300
     met = sum(len(r.cells) for t in (found.first, found.later) for r in t.where("case_id % 50 <> 0 and case_id <> 3").collect())
     assert met < 0.25 * found.n_cells * 116
+
+
+def test_balanced_join_splits_hot_keys(spark):
+    """One key holds nine tenths of both sides: the plain join's rows, dealt to many parts of bounded size."""
+    left = [(0 if i % 10 else i, i) for i in range(600)] + [(None, 1)]
+    right = [(0 if i % 10 else i, i) for i in range(500)] + [(None, 2)]
+    l, r = spark.createDataFrame(left, "k long, a long"), spark.createDataFrame(right, "k long, b long")
+    got = numeric.balanced_join(l, r, ["k"], ["a"], ["b"], 50)
+    want = l.join(r, "k")
+    assert got.columns == want.columns and got.exceptAll(want).count() == 0 and got.count() == want.count()
+
+
+def test_crowded_cell(spark):
+    """Half of all POIs and anchors at one place: the same pairs as without splitting, and no part over twice the median."""
+    rng = random.Random(11)
+    pts = [(i, 34.7 if i % 2 else rng.uniform(34.6, 34.8), 135.5 if i % 2 else rng.uniform(135.4, 135.6)) for i in range(800)]
+    anchors = spark.createDataFrame(pts[:300], "case_id long, a_lat double, a_lon double")
+    pois = spark.createDataFrame(pts, "poi_id long, lat double, lon double")
+    split, whole = geo.radius_join(anchors, pois, 1.0, most=20), geo.radius_join(anchors, pois, 1.0)
+    pairs = lambda df: sorted((r.case_id, r.poi_id, round(r.distance_km, 9)) for r in df.collect())
+    assert pairs(split) == pairs(whole) and len(pairs(whole)) > 150 * 400
+    keys = ["_cy"]
+    hot = numeric.balanced_join(anchors.withColumn("_cy", F.floor("a_lat")), pois.withColumn("_cy", F.floor("lat")), keys, ["case_id"], ["poi_id"], 20)
+    assert hot.count() == 300 * 800

@@ -172,6 +172,10 @@ add_view("v_near", """
 SELECT a, b, score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rn FROM (SELECT x.poi_id AS a, y.poi_id AS b, round(list_dot_product(x.u, y.u), 9) AS score FROM v_unit x JOIN v_unit y ON x.poi_id <> y.poi_id)) WHERE rn <= 20""")
 
 
+add_view("v_near_all", """
+SELECT a, b, score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rn FROM (SELECT x.poi_id AS a, y.poi_id AS b, round(list_dot_product(x.u, y.u), 9) AS score FROM v_unit x JOIN v_unit y ON x.poi_id <> y.poi_id)) WHERE rn <= 2000""")
+
+
 @query("similar_pois", "SELECT a AS poi_id, b AS similar_id, round(score, 9) AS score FROM v_near")
 def similar_pois(t):
     out = eng.similar_pois(t.item_vectors, t.item_vectors, 20)
@@ -272,7 +276,7 @@ def als_score_cold(t):
 
 @query("word2vec_train")
 def word2vec_train(t):
-    return eng.train_word2vec(tr.trail_sequences(t.visits))
+    return eng.train_skipgram(t.visits)
 
 
 @query("als_train")

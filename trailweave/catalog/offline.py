@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trailweave.catalog.engines import _COOC, RANDOM_SQL, content_views, markov_view
+from trailweave.catalog.engines import _COOC, RANDOM_SQL, content_views, context_view, markov_view
 from trailweave.catalog.oracle_views import add_view
 from trailweave.catalog.registry import query, shared
 from trailweave.functions.numeric import r6
@@ -212,15 +212,40 @@ def mode_views(p):
     add_view(f"{p}_tr2", f"SELECT p, a, b, n / sum(n) OVER (PARTITION BY p, a) AS p2 FROM (SELECT poi_id AS p, nx AS a, nx2 AS b, count(*) AS n FROM {p}_leads WHERE nx2 IS NOT NULL GROUP BY 1, 2, 3)")
     content_views(p, f"{p}_case", f"{p}_hist", f"{p}_seen")
     markov_view(f"{p}_mk", f"{p}_case", f"{p}_tr1", f"{p}_tr2")
+    # embeddings: the mean of the last three of training and current POI, else the neighbours of the current POI, else sums over the history's
+    add_view(f"{p}_recent", f"SELECT c.case_id, t.poi_id, row_number() OVER (PARTITION BY c.case_id ORDER BY t.ts, t.trail_id, t.seq, t.poi_id, t.tie) AS pos FROM {p}_case c JOIN {p}_train t ON t.user_id = c.user_id")
+    add_view(f"{p}_ctx", f"""
+SELECT case_id, poi_id FROM (SELECT case_id, poi_id, row_number() OVER (PARTITION BY case_id ORDER BY pos DESC) AS back FROM
+ (SELECT r.* FROM {p}_recent r JOIN {p}_case c USING (case_id) WHERE c.current_poi IS NULL OR r.poi_id <> c.current_poi UNION ALL SELECT case_id, current_poi, 9000000000 FROM {p}_case WHERE current_poi IS NOT NULL)) WHERE back <= 3""")
+    add_view(f"{p}_ctx2", f"SELECT * FROM {p}_ctx WHERE case_id IN (SELECT case_id FROM {p}_ctx GROUP BY case_id HAVING count(*) >= 2)")
+    add_view(f"{p}_next", f"""
+SELECT case_id, current_poi AS poi_id FROM {p}_case WHERE current_poi IN (SELECT poi_id FROM v_unit) AND case_id NOT IN (SELECT case_id FROM {p}_ctx2)
+UNION ALL SELECT case_id, poi_id FROM (SELECT r.case_id, r.poi_id, row_number() OVER (PARTITION BY r.case_id ORDER BY r.pos DESC) AS back FROM {p}_recent r JOIN {p}_case c USING (case_id) WHERE c.current_poi IS NOT NULL AND c.current_poi NOT IN (SELECT poi_id FROM v_unit)
+ AND r.poi_id IN (SELECT poi_id FROM v_unit) AND case_id NOT IN (SELECT case_id FROM {p}_ctx2)) WHERE back <= 3""")
+    context_view(f"{p}_emb_ctx", f"{p}_ctx2", 2000)
+    context_view(f"{p}_emb_next", f"{p}_next", 2000)
+    add_view(f"{p}_embed", f"""
+SELECT case_id, poi_id, score FROM {p}_emb_ctx UNION ALL SELECT case_id, poi_id, score FROM {p}_emb_next
+UNION ALL SELECT c.case_id, n.b, round(sum(n.score), 9) FROM {p}_case c JOIN {p}_hist h USING (case_id) JOIN v_near_all n ON n.a = h.poi_id
+ WHERE c.current_poi IS NULL AND c.case_id NOT IN (SELECT case_id FROM {p}_ctx2) AND NOT EXISTS (SELECT 1 FROM {p}_hist x WHERE x.case_id = c.case_id AND x.poi_id = n.b) GROUP BY 1, 2""")
+    add_view(f"{p}_als_user", f"""
+SELECT c.case_id, v.vec FROM {p}_case c JOIN v_user_vectors v USING (user_id)
+UNION ALL SELECT case_id, list(m ORDER BY d) FROM (SELECT case_id, d, sum(n * x) / sum(n) AS m FROM (SELECT h.case_id, h.n, unnest(v.vec) AS x, unnest(range(1, len(v.vec) + 1)) AS d FROM {p}_hist h JOIN v_item_vectors v USING (poi_id)
+ WHERE h.case_id NOT IN (SELECT c.case_id FROM {p}_case c JOIN v_user_vectors u USING (user_id))) GROUP BY 1, 2) GROUP BY 1""")
+    add_view(f"{p}_als", f"""
+SELECT case_id, poi_id, score FROM (SELECT s.*, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, poi_id) AS rn FROM (SELECT u.case_id, i.poi_id, round(list_dot_product(u.vec, i.vec), 9) AS score FROM {p}_als_user u CROSS JOIN v_item_vectors i) s
+ WHERE NOT EXISTS (SELECT 1 FROM {p}_hist h WHERE h.case_id = s.case_id AND h.poi_id = s.poi_id)) WHERE rn <= 500""")
     add_view(f"{p}_sparse", f"""
 WITH i AS (SELECT h.case_id, c.b AS poi_id, CAST(sum(c.n) AS DOUBLE) AS score FROM {p}_hist h JOIN {p}_cooc c ON c.a = h.poi_id WHERE NOT EXISTS (SELECT 1 FROM {p}_hist x WHERE x.case_id = h.case_id AND x.poi_id = c.b) GROUP BY 1, 2),
 m AS (SELECT k.case_id, k.poi_id, k.score / sqrt(COALESCE(c.n_visits, 1)) AS score FROM {p}_mk k LEFT JOIN {p}_counts c USING (poi_id)),
-n AS (SELECT case_id, 'item' AS engine, poi_id, score / max(score) OVER (PARTITION BY case_id) AS score FROM i UNION ALL SELECT case_id, 'markov', poi_id, score / max(score) OVER (PARTITION BY case_id) FROM m)
+e AS (SELECT 'item' AS engine, * FROM i UNION ALL SELECT 'markov', * FROM m UNION ALL SELECT 'embed', * FROM {p}_embed UNION ALL SELECT 'als', * FROM {p}_als),
+g AS (SELECT *, max(score) OVER (PARTITION BY engine, case_id) AS top FROM e),
+n AS (SELECT case_id, engine, poi_id, score / top AS score FROM g WHERE top > 0)
 SELECT n.*, v_sig.sig FROM n JOIN v_sig USING (poi_id) WHERE NOT EXISTS (SELECT 1 FROM {p}_seen s WHERE s.case_id = n.case_id AND s.poi_id = n.poi_id)""")
     add_view(f"{p}_long", f"SELECT case_id, engine, poi_id, score, sig FROM {p}_sparse UNION ALL SELECT case_id, 'content', poi_id, norm, sig FROM {p}_content")
     add_view(f"{p}_modes", f"""
 SELECT case_id, engine AS mode, poi_id, sig, score FROM {p}_long
-UNION ALL SELECT case_id, 'hybrid', poi_id, sig, round(sum(score * CASE engine WHEN 'content' THEN 0.10 ELSE 0.15 END), 9) FROM {p}_long GROUP BY 1, 3, 4
+UNION ALL SELECT case_id, 'hybrid', poi_id, sig, round(sum(score * CASE engine WHEN 'content' THEN 0.10 WHEN 'embed' THEN 0.05 WHEN 'als' THEN 0.55 ELSE 0.15 END), 9) FROM {p}_long GROUP BY 1, 3, 4
 UNION ALL SELECT case_id, 'rrf', poi_id, sig, round(sum(1.0 / (30 + rk + 1) - 1.0 / (30 + size + 1)) + any_value(absent), 9) FROM
  (SELECT l.*, a.absent, count(*) OVER (PARTITION BY l.case_id, engine) AS size, row_number() OVER (PARTITION BY l.case_id, engine ORDER BY score DESC, CASE WHEN engine = 'content' THEN sig END, poi_id) - 1 AS rk FROM {p}_long l
   JOIN (SELECT case_id, sum(1.0 / (30 + size + 1)) + (5 - count(*)) / 31.0 AS absent FROM (SELECT case_id, engine, count(*) AS size FROM {p}_long GROUP BY 1, 2) GROUP BY 1) a ON a.case_id = l.case_id) GROUP BY 1, 3, 4""")
@@ -240,7 +265,7 @@ mode_views("v_cl")
 def _recs(t):
     c, train = last_trail_cases(t)
     p = ev.EvalParams(k=K)
-    s = ev.engine_scores(c, train, t.pois, t.poi_categories, p)
+    s = ev.engine_scores(c, train, t.pois, t.poi_categories, p, t.item_vectors, (t.user_vectors, t.item_vectors))
     return c, train, materialize(ev.recommend_modes(c, s, train, t.pois, p))
 
 

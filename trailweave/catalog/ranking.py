@@ -152,8 +152,6 @@ add_view("v_r_ctx2", "SELECT * FROM v_r_ctx WHERE case_id IN (SELECT case_id FRO
 add_view("v_r_at", "SELECT req_id AS case_id, current_poi AS poi_id FROM v_requests WHERE current_poi IN (SELECT poi_id FROM v_unit) AND req_id NOT IN (SELECT case_id FROM v_r_ctx2)")
 context_view("v_r_emb_ctx", "v_r_ctx2", 2000)
 context_view("v_r_emb_at", "v_r_at", 2000)
-add_view("v_near_all", """
-SELECT a, b, score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rn FROM (SELECT x.poi_id AS a, y.poi_id AS b, round(list_dot_product(x.u, y.u), 9) AS score FROM v_unit x JOIN v_unit y ON x.poi_id <> y.poi_id)) WHERE rn <= 2000""")
 add_view("v_r_embed", """
 SELECT case_id, poi_id, score FROM v_r_emb_ctx UNION ALL SELECT case_id, poi_id, score FROM v_r_emb_at
 UNION ALL SELECT q.req_id, n.b, round(sum(n.score), 9) FROM v_requests q JOIN v_uhist h ON h.case_id = q.user_id JOIN v_near_all n ON n.a = h.poi_id

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from trailweave.functions.numeric import MOST_ROWS, balanced_join
+
 # Earth radius (km) and the Web-Mercator half circumference (m).
 EARTH_RADIUS_KM = 6371.0
 MERCATOR_HALF_M = 20037508.34
@@ -43,14 +45,15 @@ def valid_latlon(lat: Column, lon: Column) -> Column:
 
 def radius_join(
     anchors: DataFrame, pois: DataFrame, radius_km: float | str, out: str = "distance_km",
-    cell_deg: float | None = None,
+    cell_deg: float | None = None, most: int = MOST_ROWS,
 ) -> DataFrame:
     """Pairs (anchor, POI) within a radius, by an equi-join on grid cells and a distance check.
 
     ``radius_km`` is a number, or the name of an anchor column holding it (then ``cell_deg``
     is required). ``anchors`` has ``a_lat``/``a_lon``; ``pois`` has ``lat``/``lon``. Each anchor
     is expanded to the cells its radius touches, so no anchor meets a POI outside them.
-    Anchors across the 180th meridian or at the poles are widened to all longitudes.
+    Anchors across the 180th meridian or at the poles are widened to all longitudes. A cell with more than ``most``
+    anchors or POIs is split into parts, so that a crowded place is the work of several tasks.
     """
     radius = F.col(radius_km) if isinstance(radius_km, str) else F.lit(float(radius_km))
     cell = cell_deg or max(float(radius_km) / KM_PER_DEGREE, 1e-4)
@@ -76,7 +79,5 @@ def radius_join(
         "_cx": F.floor((F.col("lon") + 180.0) / cell).cast("long"),
     })
     distance = haversine_km(F.col("a_lat"), F.col("a_lon"), F.col("lat"), F.col("lon"))
-    return (
-        wide.join(located, ["_cy", "_cx"]).withColumn(out, distance)
-        .where(F.col(out) <= radius).drop("_cy", "_cx")
-    )
+    met = balanced_join(wide, located, ["_cy", "_cx"], anchors.columns, pois.columns, most)
+    return met.withColumn(out, distance).where(F.col(out) <= radius).drop("_cy", "_cx")

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from trailweave.functions.numeric import attach, by_score, draw, r9, top_per_group
+from trailweave.functions.numeric import MOST_ROWS, attach, balanced_join, by_score, draw, r9, top_per_group
 from trailweave.functions.geo import radius_join
 from trailweave.functions.sequence import positions
 from trailweave.functions.vectors import mean_vectors, top_items
+from trailweave.operators import factors, skipgram
 from trailweave.session import materialize
 
 # POIs of one class handed out per join key when classes are expanded to POIs.
@@ -64,12 +65,16 @@ def class_positions(members: DataFrame, cls: str = "sig", hot_rows: int | None =
     return positions(members.select("scope", cls, "poi_id"), ["scope", cls], ["poi_id"], "pos", hot_rows)
 
 
-def expand_classes(wanted: DataFrame, placed: DataFrame, cls: str = "sig", upto: str = "upto") -> DataFrame:
-    """The first ``upto`` members of each wanted class, as an equi-join on blocks of positions."""
+def expand_classes(wanted: DataFrame, placed: DataFrame, cls: str = "sig", upto: str = "upto", shared: bool = False, most: int = MOST_ROWS) -> DataFrame:
+    """The first ``upto`` members of each wanted class, as an equi-join on blocks of positions.
+
+    ``shared`` says that all cases ask for the same class, so that its first blocks have to be dealt to several tasks.
+    """
     asked = wanted.where(F.col(upto) > 0).withColumn(
         "_b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(upto) - 1) / CLASS_BLOCK).cast("long"))))
     blocks = placed.withColumn("_b", F.floor((F.col("pos") - 1) / CLASS_BLOCK).cast("long"))
-    return asked.join(blocks, ["scope", cls, "_b"]).where(F.col("pos") <= F.col(upto)).drop("_b", "pos")
+    met = balanced_join(asked, blocks, ["scope", cls, "_b"], ["case_id"], ["poi_id"], most) if shared else asked.join(blocks, ["scope", cls, "_b"])
+    return met.where(F.col("pos") <= F.col(upto)).drop("_b", "pos")
 
 
 def signature_usage(cases: DataFrame, history: DataFrame, seen: DataFrame, sig_of: DataFrame) -> DataFrame:
@@ -96,32 +101,33 @@ def content_reach(cases: DataFrame, history: DataFrame, seen: DataFrame, vectors
 
 
 def content_top_k(
-    reach: DataFrame, seen: DataFrame, sig_of: DataFrame, k: int, hot_rows: int | None = None,
+    reach: DataFrame, seen: DataFrame, sig_of: DataFrame, k: int, hot_rows: int | None = None, more: DataFrame | None = None,
 ) -> DataFrame:
     """(case_id, poi_id, sig, score, top, rank): exact best k unseen POIs by content similarity.
 
     Order: score, then signature, then id. Similarities exist once per (case, signature). Per
     case only the signatures that can reach the first k are expanded to POIs, and of each only
     its first k + seen members; cases with fewer than k similar POIs are filled with
-    zero-score POIs.
+    zero-score POIs. ``more`` (case_id, more) asks for that many beyond k.
     """
+    reach = reach.withColumn("_k", F.lit(k)) if more is None else reach.join(more, "case_id", "left").withColumn("_k", F.coalesce("more", F.lit(0)) + k).drop("more")
     w = W.partitionBy("case_id").orderBy(F.col("score").desc(), "sig").rowsBetween(W.unboundedPreceding, 0)
     cum = reach.withColumn("_before", F.sum("avail").over(w) - F.col("avail"))
-    near = cum.where(F.col("_before") < k).select("case_id", "scope", "sig", "score", "top", (F.col("n_seen") + k).alias("upto"))
-    similar = expand_classes(near, class_positions(sig_of, "sig", hot_rows)).select("case_id", "poi_id", "sig", "score", "top")
+    near = cum.where(F.col("_before") < F.col("_k")).select("case_id", "scope", "sig", "score", "top", "_k", (F.col("n_seen") + F.col("_k")).alias("upto"))
+    similar = expand_classes(near, class_positions(sig_of, "sig", hot_rows)).select("case_id", "poi_id", "sig", "score", "top", "_k")
     # zero tail: the similar and seen POIs of a short case are few, so its first unseen ids are near the front
-    short = reach.groupBy("case_id", "scope").agg(F.sum("avail").alias("total"), F.sum("n_pois").alias("n_similar"), F.max("top").alias("top")).where(F.col("total") < k)
+    short = reach.groupBy("case_id", "scope", "_k").agg(F.sum("avail").alias("total"), F.sum("n_pois").alias("n_similar"), F.max("top").alias("top")).where(F.col("total") < F.col("_k"))
     n_seen = seen.groupBy("case_id").agg(F.count("*").alias("_ns"))
     wanted = short.join(n_seen, "case_id", "left").select(
-        "case_id", "scope", "top", F.lit("*").alias("all"), (F.coalesce("_ns", F.lit(0)) + F.col("n_similar") + k).alias("upto"))
+        "case_id", "scope", "top", "_k", F.lit("*").alias("all"), (F.coalesce("_ns", F.lit(0)) + F.col("n_similar") + F.col("_k")).alias("upto"))
     front = positions(sig_of.select("scope", "sig", "poi_id"), ["scope"], ["sig", "poi_id"], "pos", hot_rows).withColumn("all", F.lit("*"))
     tail = (
-        expand_classes(wanted, front, "all")
+        expand_classes(wanted, front, "all", shared=True)
         .join(reach.select("case_id", "sig"), ["case_id", "sig"], "left_anti")
-        .select("case_id", "poi_id", "sig", F.lit(0.0).alias("score"), "top")
+        .select("case_id", "poi_id", "sig", F.lit(0.0).alias("score"), "top", "_k")
     )
     cand = exclude(similar.unionByName(tail), seen)
-    return top_per_group(cand, ["case_id"], [F.col("score").desc(), F.col("sig"), F.col("poi_id")], k)
+    return top_per_group(cand, ["case_id"], [F.col("score").desc(), F.col("sig"), F.col("poi_id")], "_k").drop("_k")
 
 
 def content_sizes(reach: DataFrame, seen: DataFrame, sig_of: DataFrame) -> DataFrame:
@@ -314,7 +320,7 @@ def popular(cases: DataFrame, seen: DataFrame, pois: DataFrame, counts: DataFram
     n_seen = seen.groupBy("case_id").agg(F.count("*").alias("_ns"))
     wanted = cases.select("case_id", "scope").join(n_seen, "case_id", "left").select(
         "case_id", "scope", F.lit("*").alias("sig"), (F.coalesce("_ns", F.lit(0)) + k).alias("upto"))
-    cand = exclude(expand_classes(wanted, placed), seen)
+    cand = exclude(expand_classes(wanted, placed, shared=True), seen)
     return top_per_group(cand, ["case_id"], by_score("n_visits"), k).select("case_id", "poi_id", "n_visits", "rank")
 
 
@@ -351,7 +357,7 @@ def popularity_fallback(cases: DataFrame, pois: DataFrame, k: Column | int, hot_
     q = quality_scores(pois).withColumn("_neg", -F.col("score")).withColumn("sig", F.lit("*"))
     placed = positions(q, ["scope"], ["_neg", "poi_id"], "pos", hot_rows).drop("_neg")
     wanted = cases.select("case_id", "scope", F.lit("*").alias("sig"), (k if isinstance(k, Column) else F.lit(k)).cast("long").alias("upto"))
-    return expand_classes(wanted, placed).select("case_id", "poi_id", "score")
+    return expand_classes(wanted, placed, shared=True).select("case_id", "poi_id", "score")
 
 
 def snap_to_poi(anchors: DataFrame, pois: DataFrame, counts: DataFrame, radius_km: float = 0.3, exclude_categories: list[str] | None = None) -> DataFrame:
@@ -387,17 +393,11 @@ def train_word2vec(sequences: DataFrame, size: int = 300, window: int = 12, min_
     return model.getVectors().select(F.col("word").cast("long").alias("poi_id"), vector_to_array("vector").alias("vec"))
 
 
-def dense_ids(df: DataFrame, column: str, out: str, hot_rows: int | None = None) -> DataFrame:
-    return positions(df.select(column).distinct(), [], [column], out, hot_rows).withColumn(out, F.col(out).cast("int"))
+def train_als(interactions: DataFrame, rank: int = 64, reg: float = 0.01, iterations: int = 15, alpha: float = 40.0, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(user_id, vec) and (poi_id, vec) from (user_id, poi_id, n), implicit feedback with unscaled regularisation."""
+    return factors.train(interactions, rank, reg, iterations, alpha, seed)
 
 
-def train_als(interactions: DataFrame, rank: int = 64, reg: float = 0.01, iterations: int = 15, alpha: float = 40.0, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(user_id, vec) and (poi_id, vec) from (user_id, poi_id, n), implicit feedback."""
-    from pyspark.ml.recommendation import ALS
-
-    users, items = dense_ids(interactions, "user_id", "_u"), dense_ids(interactions, "poi_id", "_i")
-    rows = interactions.join(users, "user_id").join(items, "poi_id").select("_u", "_i", F.col("n").cast("float").alias("n"))
-    model = ALS(rank=rank, regParam=reg, maxIter=iterations, alpha=alpha, seed=seed, implicitPrefs=True, userCol="_u", itemCol="_i", ratingCol="n").fit(rows)
-    u = model.userFactors.join(users, F.col("id") == F.col("_u")).select("user_id", F.col("features").cast("array<double>").alias("vec"))
-    i = model.itemFactors.join(items, F.col("id") == F.col("_i")).select("poi_id", F.col("features").cast("array<double>").alias("vec"))
-    return u, i
+def train_skipgram(visits: DataFrame, p: skipgram.SkipGramParams | None = None) -> DataFrame:
+    """(poi_id, vec) by skip-gram with negative sampling over trails of any length."""
+    return skipgram.train(visits, p).vectors

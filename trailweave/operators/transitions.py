@@ -19,17 +19,32 @@ def trail_lengths(visits: DataFrame) -> DataFrame:
     return visits.groupBy("trail_id").agg(F.count("*").alias("n_visits"))
 
 
-def trail_sequences(visits: DataFrame, min_len: int = 2, piece: int = 1000, hot_rows: int | None = None) -> DataFrame:
-    """(trail_id, piece, venues): ordered venue arrays, long trails cut into pieces of ``piece``.
+def trail_pieces(placed: DataFrame, piece: int, halo: int, values: list[str]) -> DataFrame:
+    """(trail_id, trail_key, piece, items): trails in pieces of ``piece`` places, each with up to ``halo`` places more on both sides.
 
-    A sentence-based trainer cuts long sentences at the same length, and no array grows
-    beyond it. Trails shorter than ``min_len`` are left out.
+    ``placed`` has trail_id, pos and the ``values``; ``items`` are structs (pos, own, values...) in order, ``own`` false in the
+    margins. Every place is its own in one piece, and there all places at most ``halo`` away are at hand.
+    """
+    at = lambda p: F.floor(p / piece).cast("long")
+    place = F.col("pos") - 1
+    spread = placed.withColumn("piece", F.explode(F.sequence(at(F.greatest(place - halo, F.lit(0))), at(place + halo))))
+    item = F.struct("pos", (at(place) == F.col("piece")).alias("own"), *values)
+    arrays = spread.groupBy("trail_id", "piece").agg(F.array_sort(F.collect_list(item)).alias("items"), F.bool_or(at(place) == F.col("piece")).alias("_any"))
+    return arrays.where("_any").select("trail_id", F.xxhash64("trail_id").alias("trail_key"), "piece", "items")
+
+
+def trail_sequences(visits: DataFrame, min_len: int = 2, piece: int = 1000, hot_rows: int | None = None, halo: int = 0) -> DataFrame:
+    """(trail_id, piece, venues, first, own): ordered venue arrays, long trails cut into pieces of ``piece`` so that no array grows beyond it.
+
+    With a ``halo`` of the window's width a piece also has the places around it; its own are the ``own`` ones from index ``first`` on, and
+    pairs whose centre is its own are together those of the uncut trail. Trails shorter than ``min_len`` are left out.
     """
     placed = trail_positions(visits.select("trail_id", *TRAIL_ORDER), "pos", hot_rows)
-    placed = placed.withColumn("piece", F.floor((F.col("pos") - 1) / piece).cast("long"))
-    arrays = placed.groupBy("trail_id", "piece").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "poi_id"))), lambda x: x["poi_id"]).alias("venues"))
-    return arrays.where((F.size("venues") >= min_len) | (F.col("piece") > 0))
+    arrays = trail_pieces(placed.select("trail_id", "pos", "poi_id"), piece, halo, ["poi_id"])
+    own = F.filter("items", lambda x: x["own"])
+    rows = arrays.select("trail_id", "piece", F.transform("items", lambda x: x["poi_id"]).alias("venues"),
+                         (own[0]["pos"] - F.col("items")[0]["pos"]).cast("int").alias("first"), F.size(own).alias("own"))
+    return rows.where((F.col("own") >= min_len) | (F.col("piece") > 0))
 
 
 def user_history(visits: DataFrame, hot_rows: int | None = None) -> DataFrame:

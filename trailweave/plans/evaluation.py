@@ -96,10 +96,12 @@ def recommend_modes(c: Cases, s: Scored, train: DataFrame, pois: DataFrame, p: E
     pois = scoped_pois(pois)
     counts = features.item_counts(train)
     out = []
-    best = materialize(eng.content_top_k(s.reach, c.seen, s.sig_of, p.k)) if {"content", "hybrid", "rrf"} & set(p.modes) else None
+    # engines may score below zero, and then a POI that content puts further down can come before one that it puts first
+    lower = s.sparse.where("score < 0").groupBy("case_id").agg(F.countDistinct("poi_id").alias("more"))
+    best = materialize(eng.content_top_k(s.reach, c.seen, s.sig_of, p.k, more=lower)) if {"content", "hybrid", "rrf"} & set(p.modes) else None
     scored = s.sparse.where(F.col("engine").isin(*p.modes)).withColumn("mode", F.col("engine"))
     if "content" in p.modes:
-        out.append(best.select("case_id", F.lit("content").alias("mode"), "poi_id", "rank"))
+        out.append(best.where(F.col("rank") <= p.k).select("case_id", F.lit("content").alias("mode"), "poi_id", "rank"))
     if {"hybrid", "rrf"} & set(p.modes):
         ids = s.sparse.select("case_id", "poi_id", "sig").unionByName(best.select("case_id", "poi_id", "sig")).distinct()
         weights = fusion.weight_selection(case_flags(c, s.sparse), p.trail_weights)

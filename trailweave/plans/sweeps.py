@@ -136,7 +136,8 @@ def weight_trials(spark, base: list[float], trials: int, jitter: float = 0.12, s
 
 def fused_rows(c: Cases, s: ev.Scored, k: int) -> DataFrame:
     """Engine rows of the cases, seen POIs left out first and each engine scaled to one afterwards."""
-    best = eng.content_top_k(s.reach, c.seen, s.sig_of, k)
+    lower = s.sparse.where("score < 0").groupBy("case_id").agg(F.countDistinct("poi_id").alias("more"))
+    best = eng.content_top_k(s.reach, c.seen, s.sig_of, k, more=lower)
     ids = s.sparse.select("case_id", "poi_id", "sig").unionByName(best.select("case_id", "poi_id", "sig")).distinct()
     rows = s.sparse.unionByName(s.content_rows(ids)).select("case_id", "engine", "poi_id", "score")
     rows = attach(rows, ["case_id", "engine"], F.max("score").alias("_m")).where("_m > 0")
