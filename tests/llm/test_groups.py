@@ -154,3 +154,19 @@ def test_pipeline(spark):
     assert after.where(F.col("n_chars") != F.length("text")).isEmpty()
     pieces = materialize(corpus_pipeline.STAGES[-1][1](spark, before, SF))
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == set(texts)
+
+
+def test_held_out_toxicity(spark):
+    """Learned outside the fold, at least nine tenths of the fold's toxic documents are found and clean ones left alone."""
+    sf = "/root/testdata/sf0.1"
+    scored = toxicity.score(catalog.table(spark, sf, "documents"), catalog.table(spark, sf, "labels"))
+    got = scored.join(catalog.table(spark, sf, "labels"), "doc_id").where("held_out").select("toxic", "predicted").collect()
+    toxic, clean = [r.predicted for r in got if r.toxic == 1], [r.predicted for r in got if r.toxic == 0]
+    assert len(toxic) > 80 and sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.02 * len(clean)
+
+
+def test_alternatives_take_the_longest_voter():
+    voters = ["abc", "ab$", "abcd$", "x", "xyz$", "ü"]
+    pattern = re.compile(toxicity.alternatives(voters).replace(r"[\p{L}]", "[^\\W\\d_]"))
+    got = {w: (m[0] if (m := pattern.match(w)) else None) for w in ["abcde", "abcd", "ab", "abx", "xy", "xyz", "xyza", "über", "b"]}
+    assert got == {"abcde": "abc", "abcd": "abcd", "ab": "ab", "abx": None, "xy": "x", "xyz": "xyz", "xyza": "x", "über": "ü", "b": None}

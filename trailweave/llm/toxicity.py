@@ -2,8 +2,11 @@
 
 Voters are words and word beginnings mined from labelled rows (a lexicon with its inflections, in any language), a
 short list of insults and patterns of form. A generative label model estimates each voter's hit rates on toxic and clean
-texts by expectation-maximisation over all documents and discounts voters that go together; a linear classifier
-is trained on its posterior labels and scores every text.
+texts by expectation-maximisation over all documents, started from the labels, and discounts voters that go together; a linear
+classifier is trained on its posterior labels of all documents and scores every text.
+
+Words are counted over all labelled rows outside the held-out fold and every word that tells enough votes. Documents with the same votes and
+number of hits are one row, weighted, in all sums and in the classifier's fit.
 """
 from __future__ import annotations
 
@@ -37,20 +40,17 @@ class Model:
     intercept: float
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """Labelled documents outside the held-out fold: at most about ``most``, chosen by a hash of the id."""
+def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, toxic): labelled documents outside the held-out fold."""
     keep = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    count = keep.count()
-    if count > most:
-        keep = keep.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * most / count))
-    return docs.join(F.broadcast(keep), "doc_id").select("doc_id", "text", "toxic")  # about ``most`` ids at any size
+    return docs.join(keep, "doc_id").select("doc_id", "text", "toxic")
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def mine_voters(train: DataFrame, voters: int, least_gain: float, least_lift: float) -> list[str]:
+def mine_voters(train: DataFrame, least_gain: float, least_lift: float) -> list[str]:
     """Beginnings of SHORTEST to LONGEST letters and whole words (marked by a final $) that toxic texts have far more often than clean ones.
 
     ``least_lift`` is in log-odds, ``least_gain`` in the log-likelihood ratio statistic, so that words seen in a few texts by chance don't vote.
@@ -67,23 +67,33 @@ def mine_voters(train: DataFrame, voters: int, least_gain: float, least_lift: fl
               .withColumn("gain", 2 * F.col("t") * F.log(F.col("t") / F.col("n") / (toxic / (toxic + clean)))
                           + 2 * F.when(F.col("n") > F.col("t"), (F.col("n") - F.col("t")) * F.log((F.col("n") - F.col("t")) / F.col("n") / (clean / (toxic + clean)))).otherwise(0.0))
               .where((F.col("lift") >= least_lift) & (F.col("gain") >= least_gain)))
-    # by how much a voter tells; one that begins like a chosen one is taken only if it is much surer, or else says the same again
-    found = counts.orderBy(F.desc("gain"), F.desc(F.length("start")), "start").limit(60 * voters).collect()
+    # a part of a vocabulary's words; by how much a voter tells; one that begins like a chosen one is taken only if it is much surer, or else says the same again
+    found = counts.orderBy(F.desc("gain"), F.desc(F.length("start")), "start").collect()
     chosen: dict[str, tuple[str, float]] = {}
     for row in found:
         bare = row["start"].rstrip("$")
         kin = [lift for b, (_, lift) in chosen.items() if b.startswith(bare) or bare.startswith(b)]
-        if bare not in chosen and all(row["lift"] >= lift + 1 for lift in kin) and len(chosen) < voters:
+        if bare not in chosen and all(row["lift"] >= lift + 1 for lift in kin):
             chosen[bare] = (row["start"], row["lift"])
     return [start for start, _ in chosen.values()]
 
 
+def alternatives(voters: list[str]) -> str:
+    """A pattern of the longest voter that begins a word, with shared beginnings written once, so that a word costs its length and not the number of voters."""
+    def branch(rest: list[str]) -> str:
+        ends = ["" for v in rest if v == ""] + [r"(?![\p{L}])" for v in rest if v == "$"]
+        firsts = sorted({v[0] for v in rest if v not in ("", "$")})
+        ways = [f + branch([v[1:] for v in rest if v[:1] == f and v != "$"]) for f in firsts] + sorted(set(ends), reverse=True)
+        return ways[0] if len(ways) == 1 else "(?:" + "|".join(ways) + ")"
+
+    return branch(sorted(set(voters)))
+
+
 def vote_columns(df: DataFrame, voters: list[str]) -> DataFrame:
     """Adds ``votes``, the ascending numbers of the voters that hit the text (form patterns come last), and ``hits``: one scan for all."""
     text = F.coalesce(F.col("text"), F.lit(""))
     if voters:
-        longest_first = sorted(voters, key=lambda v: (-len(v), v))
-        pattern = r"(?<![\p{L}])(" + "|".join(v.rstrip("$") + (r"(?![\p{L}])" if v.endswith("$") else "") for v in longest_first) + ")"
+        pattern = r"(?<![\p{L}])(" + alternatives(voters) + ")"
         found = F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1))
     else:
         found = F.array().cast("array<string>")
@@ -98,6 +108,9 @@ def vote_columns(df: DataFrame, voters: list[str]) -> DataFrame:
     return df.withColumn("votes", F.array_sort(F.concat(numbers, F.array_compact(F.array(*forms))))).drop("_found")
 
 
+#: Labelled documents that the label model's posterior of a vote pattern counts for.
+PRIOR = 4.0
+
 #: Mostly capitals, exclamation, and no word voter hit, which speaks for clean.
 FORMS = 3
 
@@ -106,7 +119,7 @@ def label_model(patterns: DataFrame, width: int, rounds: int = 8) -> tuple[np.nd
     """Weight of each vote and intercept of the log-odds of toxic, from (votes, texts, toxic, clean): vote patterns, their number of
     texts and how many of these are labelled either way.
 
-    Expectation-maximisation of the voters' hit rates on both classes; labels hold where they are given. A voter that does not
+    Expectation-maximisation of the voters' hit rates on both classes, started from the labelled shares. A voter that does not
     hit abstains: toxic texts of one language lack all words of the others, so absence tells nothing by itself. The discount of
     a voter is one over the summed correlations of its votes with all voters (itself included) within the classes, counted
     from 0 at a half to 1 at one, so that a group that votes as one counts as one. Each round sums over all patterns in Spark; what reaches
@@ -151,32 +164,30 @@ def dot(votes: Column, weights: list[float]) -> Column:
     return F.aggregate(votes, F.lit(0.0), lambda total, v: total + F.lit([float(w) for w in weights])[v])
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, voters: int = 80, least_gain: float = 24.0, least_lift: float = 1.5) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, labels: DataFrame, least_gain: float = 24.0, least_lift: float = 1.5) -> tuple[Model, DataFrame]:
     """The model, and a written table (doc_id, votes, hits) of all documents.
 
-    ``most`` bounds the labelled rows that voters are mined from and the classifier is fitted on. Votes and the
-    label model's sums cover all documents. Without labels of both kinds only the fixed list votes.
+    Without labels of both kinds only the fixed list votes.
     """
-    train = materialize(training_rows(docs, labels, most))
-    found = mine_voters(train, voters, least_gain, least_lift)
+    train = materialize(training_rows(docs, labels))
+    found = mine_voters(train, least_gain, least_lift)
     found += [w for w in INSULTS if not any(w.startswith(v.rstrip("$")) or v.startswith(w) for v in found)]
     voted = materialize(vote_columns(docs, found).select("doc_id", "votes", "hits"))
     width = len(found) + FORMS
-    known = F.broadcast(train.select("doc_id", "toxic"))  # about ``most`` rows at any size
-    patterns = materialize(voted.join(known, "doc_id", "left").groupBy("votes").agg(
+    cases = materialize(voted.join(train.select("doc_id", "toxic").dropDuplicates(["doc_id"]), "doc_id", "left").groupBy("votes", "hits").agg(
         F.count("*").alias("texts"), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("toxic") == 0, 1).otherwise(0)).alias("clean")))
-    if patterns.isEmpty():
+    if cases.isEmpty():
         return Model(found, [0.0] * width, 0.0, [0.0] * (width + 1), 0.0), voted
+    patterns = materialize(cases.groupBy("votes").agg(*[F.sum(c).alias(c) for c in ("texts", "toxic", "clean")]))
     label_weights, label_intercept = label_model(patterns, width)
 
-    # the sample's own labels vote too, as a voter that is right 19 times of 20
-    given = (2 * F.col("toxic") - 1) * math.log(19)
-    sample = voted.join(known, "doc_id").withColumn("post", sigmoid(F.lit(label_intercept) + dot(F.col("votes"), label_weights.tolist()) + given))
+    # the label model speaks for PRIOR documents of each vote pattern, next to the labelled ones that cast it
+    known = patterns.select("votes", F.col("toxic").alias("_toxic"), (F.col("toxic") + F.col("clean")).alias("_known"))
+    cases = cases.join(known, "votes")
+    post = (PRIOR * sigmoid(F.lit(label_intercept) + dot(F.col("votes"), label_weights.tolist())) + F.col("_toxic")) / (PRIOR + F.col("_known"))
     inputs = F.concat(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.array_contains("votes", i).cast("double")), F.array(log_hits()))
-    soft = F.array(F.struct(F.lit(1.0).alias("label"), F.col("post").alias("w")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("post")).alias("w")))
-    rows = materialize(sample.select(inputs.alias("x"), F.explode(soft).alias("y")).select("x", "y.*").where("w > 0.001"))
-    if rows.select("label").distinct().count() < 2:  # nothing to tell apart: the label model itself scores
-        return Model(found, label_weights.tolist(), label_intercept, [*label_weights.tolist(), 0.0], label_intercept), voted
+    soft = F.array(F.struct(F.lit(1.0).alias("label"), (F.col("texts") * post).alias("w")), F.struct(F.lit(0.0).alias("label"), (F.col("texts") * (1 - post)).alias("w")))
+    rows = materialize(cases.select(inputs.alias("x"), F.explode(soft).alias("y")).select("x", "y.*"))
     fitted = LogisticRegression(maxIter=50, regParam=1e-4, weightCol="w", standardization=False).fit(rows.select(array_to_vector("x").alias("features"), "label", "w"))
     return Model(found, label_weights.tolist(), label_intercept, fitted.coefficients.toArray().tolist(), float(fitted.intercept)), voted
 
