@@ -1,10 +1,13 @@
 """Route selection, ordering and metrics.
 
 A route has at most k stops and is picked from a pool of bounded size, so each (case) group is
-small; Spark partitions the cases and a short numpy helper handles one group.
+small; Spark partitions the cases and a short numpy helper handles one group. Tours to be ordered may be trails of any length:
+up to ``WHOLE`` stops a tour has a matrix of all its distances, longer ones are ordered over a grid of cells and improved in
+stretches, so memory grows with the number of stops and not with its square.
 """
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -98,6 +101,8 @@ def gather(rows: DataFrame, keys: list[str], order: str, columns: list[str], onc
     return packed.select(*keys, *once, *[F.col(f"_s.{c}").alias(c) for c in columns])
 
 
+# Stops up to which a tour has a matrix of all distances, and stops of a stretch of longer ones.
+WHOLE, STRETCH = 2000, 200
 # Routes a task holds before it hands them on.
 PLANNED_AT_ONCE = 5000
 STOP_SCHEMA = "step long, poi_id long, lat double, lon double, primary_category string, score double, leg_km double"
@@ -174,6 +179,78 @@ def nearest_order(dist: np.ndarray) -> list[int]:
     return order
 
 
+class Cells:
+    """Stops in square grid cells of about ``per_cell`` stops, from which visited ones are taken out."""
+
+    def __init__(self, lat: np.ndarray, lon: np.ndarray, per_cell: int = 4) -> None:
+        self.lat, self.lon = lat, lon
+        n = max(1, math.ceil(math.sqrt(len(lat) / per_cell)))
+        self.size = max(float(np.ptp(lat)), float(np.ptp(lon)), 1e-9) / n
+        self.y, self.x = (np.minimum(n, ((v - v.min()) / self.size).astype(int)) for v in (lat, lon))
+        self.most = int(max(self.y.max(), self.x.max())) + 1
+        self.cells: dict[tuple[int, int], list[int]] = {}
+        for i, key in enumerate(zip(self.y.tolist(), self.x.tolist())):
+            self.cells.setdefault(key, []).append(i)
+        # kilometres that a step of one cell is sure to be: the parallel farthest from the equator is the shortest
+        top = min(89.9, float(np.abs(lat).max()))
+        self.km = math.radians(self.size) * EARTH_RADIUS_KM * min(1.0, math.cos(math.radians(top)))
+        self.wide = float(np.ptp(lon)) > 90 or top > 80  # there the way over the pole or the seam may be shorter
+
+    def take(self, i: int) -> None:
+        key = (int(self.y[i]), int(self.x[i]))
+        self.cells[key].remove(i)
+        if not self.cells[key]:
+            del self.cells[key]
+
+    def ring(self, y: int, x: int, r: int) -> list[int]:
+        if r > 2 * math.isqrt(len(self.cells)) + 2:  # few cells are left: look at them instead of at the ring
+            return [i for (a, b), stops in self.cells.items() if max(abs(a - y), abs(b - x)) == r for i in stops]
+        keys = [(y, x)] if r == 0 else [(y + d, x + e) for d in (-r, r) for e in range(-r, r + 1)] + [(y + e, x + d) for d in (-r, r) for e in range(1 - r, r)]
+        return [i for key in keys for i in self.cells.get(key, ())]
+
+    def nearest(self, i: int) -> int:
+        """The nearest stop left, the first one on ties: rings of cells until no farther ring can hold a nearer one."""
+        best, chosen, r = math.inf, -1, 0
+        while r <= self.most and (self.wide or best > (r - 1) * self.km * 0.99):
+            found = np.array(self.ring(int(self.y[i]), int(self.x[i]), r), dtype=int)
+            if found.size:
+                dist = np.round(km_from(self.lat[i], self.lon[i], self.lat[found], self.lon[found]), 9)
+                low = float(dist.min())
+                if low <= best:
+                    first = int(found[dist == low].min())
+                    chosen = min(chosen, first) if low == best else first
+                    best = low
+            r += 1
+        return chosen
+
+
+def nearest_order_far(lat: np.ndarray, lon: np.ndarray) -> list[int]:
+    """``nearest_order`` without a distance matrix."""
+    left = Cells(lat, lon)
+    left.take(0)
+    order = [0]
+    for _ in range(len(lat) - 1):
+        nxt = left.nearest(order[-1])
+        left.take(nxt)
+        order.append(nxt)
+    return order
+
+
+def shorten_far(order: list[int], lat: np.ndarray, lon: np.ndarray, fixed_start: bool, stretch: int | None = None, rounds: int = 3) -> list[int]:
+    """2-opt over stretches of the path that overlap by half: a stretch keeps its ends, so the path never grows; first and last stop stay as in ``shorten``."""
+    best, stretch = np.array(order), stretch or STRETCH
+    for turn in range(rounds):
+        changed = False
+        for at in range(0 if turn % 2 == 0 else stretch // 4, max(1, len(best) - 3), stretch // 2):
+            part = best[at:at + stretch]
+            new = part[shorten(list(range(len(part))), distance_matrix(lat[part], lon[part]), fixed_start or at > 0)]
+            changed = changed or not np.array_equal(new, part)
+            best[at:at + stretch] = new
+        if not changed:
+            break
+    return best.tolist()
+
+
 def shorten(order: list[int], dist: np.ndarray, fixed_start: bool, max_passes: int = 80) -> list[int]:
     """Open-path 2-opt: per pass the first reversal that shortens the path; the last node stays.
 
@@ -200,6 +277,20 @@ def shorten(order: list[int], dist: np.ndarray, fixed_start: bool, max_passes: i
     return best.tolist()
 
 
+def tour(lat: np.ndarray, lon: np.ndarray, how: str, anchored: bool) -> tuple[list[int], float]:
+    """Visit order and length in km."""
+    if len(lat) <= WHOLE:
+        dist = distance_matrix(lat, lon)
+        path = list(range(len(lat))) if how == "two_opt" else nearest_order(dist)
+        if how != "nearest":
+            path = shorten(path, dist, anchored)
+        return path, float(dist[path[:-1], path[1:]].sum()) if len(path) > 1 else 0.0
+    path = list(range(len(lat))) if how == "two_opt" else nearest_order_far(lat, lon)
+    if how != "nearest":
+        path = shorten_far(path, lat, lon, anchored)
+    return path, float(km_from(lat[path[:-1]], lon[path[:-1]], lat[path[1:]], lon[path[1:]]).sum())
+
+
 def _reorder(stops: DataFrame, keys: list[str], how: str) -> DataFrame:
     types = dict(stops.dtypes)
     rows = stops.where("lat IS NOT NULL AND lon IS NOT NULL")
@@ -217,11 +308,7 @@ def _reorder(stops: DataFrame, keys: list[str], how: str) -> DataFrame:
                 anchored = not (pd.isna(row.a_lat) or pd.isna(row.a_lon))
                 if anchored:
                     lat, lon = np.r_[float(row.a_lat), lat], np.r_[float(row.a_lon), lon]
-                dist = distance_matrix(lat, lon)
-                path = list(range(len(lat))) if how == "two_opt" else nearest_order(dist)
-                if how != "nearest":
-                    path = shorten(path, dist, anchored)
-                total = float(dist[path[:-1], path[1:]].sum()) if len(path) > 1 else 0.0
+                path, total = tour(lat, lon, how, anchored)
                 chosen = ids[[x - 1 for x in path if x > 0] if anchored else path]
                 parts.append({**{c: [getattr(row, c)] * len(chosen) for c in keys}, "step": range(1, len(chosen) + 1),
                               "poi_id": chosen, "total_km": [total] * len(chosen)})
