@@ -84,12 +84,41 @@ def nn_order(t):
     return routes.nn_order(stops(t), ["trail_id"]).withColumn("total_km", r6("total_km"))
 
 
-@query("two_opt")
+def two_opt_sql(paths, key, first):
+    """Check SQL of open-path 2-opt: a recursive query that reverses the first stretch of each path that shortens it, until none does.
+
+    ``paths`` yields the key and ``path``, a list of {poi_id, lat, lon}; ``first`` is 1 where the path's start is fixed.
+    """
+    at = lambda x: f"w.path[{x} + 1]"
+    d = lambda a, b: hav(f"{at(a)}.lat", f"{at(a)}.lon", f"{at(b)}.lat", f"{at(b)}.lon")
+    shorter = f"""(CASE WHEN x.i > 0 THEN {d('x.i - 1', 'x.j')} ELSE 0 END) + {d('x.i', 'x.j + 1')} + 1e-9 < (CASE WHEN x.i > 0 THEN {d('x.i - 1', 'x.i')} ELSE 0 END) + {d('x.j', 'x.j + 1')}"""
+    return f"""
+w AS (SELECT {key}, 0 AS pass, path FROM ({paths}) UNION ALL SELECT {key}, pass + 1, list_concat(list_concat(path[1:hit.i], list_reverse(path[hit.i + 1:hit.j + 1])), path[hit.j + 2:]) FROM
+ (SELECT w.*, list_filter(list_transform(range(0, len(w.path) * len(w.path)), lambda q: {{'i': q // len(w.path), 'j': q % len(w.path)}}),
+   lambda x: x.i >= {first} AND x.j > x.i AND x.i <= len(w.path) - 3 AND x.j <= len(w.path) - 2 AND {shorter})[1] AS hit FROM w WHERE pass < 80 AND len(path) >= 4) w WHERE hit IS NOT NULL),
+done AS (SELECT {key}, arg_max(path, pass) AS path FROM w GROUP BY 1),
+spread AS (SELECT {key}, unnest(range(1, len(path) + 1)) AS step, unnest(path) AS s FROM done),
+legs AS (SELECT {key}, step, s.poi_id AS poi_id, {hav('lag(s.lat) OVER o', 'lag(s.lon) OVER o', 's.lat', 's.lon')} AS leg, step = 1 AS starts FROM spread WINDOW o AS (PARTITION BY {key} ORDER BY step))"""
+
+
+@query("two_opt", f"""
+WITH RECURSIVE {two_opt_sql("SELECT trail_id, list({'poi_id': poi_id, 'lat': lat, 'lon': lon} ORDER BY step) AS path FROM v_located GROUP BY 1", "trail_id", 0)}
+SELECT trail_id, CAST(step AS BIGINT) AS step, poi_id, round(sum(CASE WHEN starts THEN 0 ELSE leg END) OVER (PARTITION BY trail_id), 6) AS total_km FROM legs""")
 def two_opt(t):
     return routes.two_opt(stops(t), ["trail_id"]).withColumn("total_km", r6("total_km"))
 
 
-@query("build_route")
+add_view("v_near_planned", greedy_sql("SELECT * FROM v_pool_near", True))
+add_view("v_near_stops", "SELECT r.case_id, r.step, r.poi_id, p.lat, p.lon, q.lat AS a_lat, q.lon AS a_lon FROM v_near_planned r JOIN v_pois p USING (poi_id) JOIN v_requests q ON q.req_id = r.case_id")
+_NEXT = hav("r.path[len(r.path)].lat", "r.path[len(r.path)].lon", "s.lat", "s.lon")
+
+
+@query("build_route", f"""
+WITH RECURSIVE nn AS (SELECT case_id, [{{'poi_id': CAST(NULL AS BIGINT), 'lat': any_value(a_lat), 'lon': any_value(a_lon)}}] AS path, list({{'i': step, 'poi_id': poi_id, 'lat': lat, 'lon': lon}} ORDER BY step) AS rest FROM v_near_stops GROUP BY 1
+ UNION ALL SELECT case_id, list_append(path, {{'poi_id': hit.poi_id, 'lat': hit.lat, 'lon': hit.lon}}), list_filter(rest, lambda s: s.i <> hit.i) FROM
+ (SELECT r.*, list_sort(list_transform(r.rest, lambda s: {{'d': round({_NEXT}, 9), 'i': s.i, 'poi_id': s.poi_id, 'lat': s.lat, 'lon': s.lon}}))[1] AS hit FROM nn r WHERE len(r.rest) > 0)),
+{two_opt_sql("SELECT case_id, path FROM nn WHERE len(rest) = 0", "case_id", 1)}
+SELECT case_id, CAST(step - 1 AS BIGINT) AS step, poi_id, total_km FROM (SELECT *, round(sum(CASE WHEN starts THEN 0 ELSE leg END) OVER (PARTITION BY case_id), 6) AS total_km FROM legs) WHERE NOT starts""")
 def build_route(t):
     planned = routes.plan_route(near_pool(t), P)
     start = t.requests.select(F.col("req_id").alias("case_id"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
