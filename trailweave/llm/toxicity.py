@@ -5,7 +5,7 @@ short list of insults and patterns of form. A generative label model estimates e
 texts by expectation-maximisation over all documents, started from the labels, and discounts voters that go together; a linear
 classifier is trained on its posterior labels of all documents and scores every text.
 
-Words are counted over all labelled rows outside the held-out fold and every word that tells enough votes. Documents with the same votes and
+Words are counted over all labelled rows outside the held-out fold. Documents with the same votes and
 number of hits are one row, weighted, in all sums and in the classifier's fit.
 """
 from __future__ import annotations
@@ -50,7 +50,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def mine_voters(train: DataFrame, least_gain: float, least_lift: float) -> list[str]:
+def mine_voters(train: DataFrame, voters: int, least_gain: float, least_lift: float) -> list[str]:
     """Beginnings of SHORTEST to LONGEST letters and whole words (marked by a final $) that toxic texts have far more often than clean ones.
 
     ``least_lift`` is in log-odds, ``least_gain`` in the log-likelihood ratio statistic, so that words seen in a few texts by chance don't vote.
@@ -67,13 +67,13 @@ def mine_voters(train: DataFrame, least_gain: float, least_lift: float) -> list[
               .withColumn("gain", 2 * F.col("t") * F.log(F.col("t") / F.col("n") / (toxic / (toxic + clean)))
                           + 2 * F.when(F.col("n") > F.col("t"), (F.col("n") - F.col("t")) * F.log((F.col("n") - F.col("t")) / F.col("n") / (clean / (toxic + clean)))).otherwise(0.0))
               .where((F.col("lift") >= least_lift) & (F.col("gain") >= least_gain)))
-    # a part of a vocabulary's words; by how much a voter tells; one that begins like a chosen one is taken only if it is much surer, or else says the same again
-    found = counts.orderBy(F.desc("gain"), F.desc(F.length("start")), "start").collect()
+    # by how much a voter tells; one that begins like a chosen one is taken only if it is much surer, or else says the same again
+    found = counts.orderBy(F.desc("gain"), F.desc(F.length("start")), "start").limit(60 * voters).collect()
     chosen: dict[str, tuple[str, float]] = {}
     for row in found:
         bare = row["start"].rstrip("$")
         kin = [lift for b, (_, lift) in chosen.items() if b.startswith(bare) or bare.startswith(b)]
-        if bare not in chosen and all(row["lift"] >= lift + 1 for lift in kin):
+        if bare not in chosen and all(row["lift"] >= lift + 1 for lift in kin) and len(chosen) < voters:
             chosen[bare] = (row["start"], row["lift"])
     return [start for start, _ in chosen.values()]
 
@@ -164,13 +164,14 @@ def dot(votes: Column, weights: list[float]) -> Column:
     return F.aggregate(votes, F.lit(0.0), lambda total, v: total + F.lit([float(w) for w in weights])[v])
 
 
-def fit(docs: DataFrame, labels: DataFrame, least_gain: float = 24.0, least_lift: float = 1.5) -> tuple[Model, DataFrame]:
+def fit(docs: DataFrame, labels: DataFrame, voters: int = 200, least_gain: float = 24.0, least_lift: float = 1.5) -> tuple[Model, DataFrame]:
     """The model, and a written table (doc_id, votes, hits) of all documents.
 
-    Without labels of both kinds only the fixed list votes.
+    ``voters`` is the size of the model: of the words that tell enough it takes those that tell most, because correlations of all pairs
+    of voters come to the driver. Words are counted in all labelled rows. Without labels of both kinds only the fixed list votes.
     """
     train = materialize(training_rows(docs, labels))
-    found = mine_voters(train, least_gain, least_lift)
+    found = mine_voters(train, voters, least_gain, least_lift)
     found += [w for w in INSULTS if not any(w.startswith(v.rstrip("$")) or v.startswith(w) for v in found)]
     voted = materialize(vote_columns(docs, found).select("doc_id", "votes", "hits"))
     width = len(found) + FORMS
