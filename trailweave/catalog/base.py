@@ -377,7 +377,7 @@ def case_sample(t):
 
 # ---------------------------------------------------------------- scalar functions
 
-_HAV = "2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {a}.lon) / 2), 2))))"
+_HAV = "CASE WHEN {a}.lat + {a}.lon + {b}.lat + {b}.lon IS NOT NULL THEN 2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {a}.lon) / 2), 2)))) END"
 
 
 @query("haversine_km", f"""

@@ -324,7 +324,7 @@ def popularity_fallback(t):
 
 
 EXCLUDED = ["Intersection", "State", "Home (private)"]
-_HAV = "2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians(p.lat - r.lat) / 2), 2) + cos(radians(r.lat)) * cos(radians(p.lat)) * pow(sin(radians(p.lon - r.lon) / 2), 2))))"
+_HAV = "CASE WHEN p.lat + p.lon + r.lat + r.lon IS NOT NULL THEN 2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians(p.lat - r.lat) / 2), 2) + cos(radians(r.lat)) * cos(radians(p.lat)) * pow(sin(radians(p.lon - r.lon) / 2), 2)))) END"
 add_view("v_snap", f"""
 SELECT req_id, poi_id FROM (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY v DESC, rt DESC, d, poi_id) AS rn FROM (SELECT r.req_id, p.poi_id, CASE WHEN c.poi_id IS NULL THEN 0 ELSE 1 END AS v, COALESCE(p.rating, 0) AS rt, round({_HAV}, 9) AS d
  FROM v_requests r JOIN v_pois p ON p.lat IS NOT NULL AND r.lat IS NOT NULL AND p.primary_category NOT IN ('Intersection', 'State', 'Home (private)') LEFT JOIN v_counts c ON c.poi_id = p.poi_id WHERE {_HAV} <= 0.3)) WHERE rn = 1""")

@@ -14,7 +14,7 @@ P = routes.PlannerParams()
 
 
 def hav(alat, alon, blat, blon):
-    return f"2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians({blat} - {alat}) / 2), 2) + cos(radians({alat})) * cos(radians({blat})) * pow(sin(radians({blon} - {alon}) / 2), 2))))"
+    return f"CASE WHEN {alat} + {alon} + {blat} + {blon} IS NOT NULL THEN 2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians({blat} - {alat}) / 2), 2) + cos(radians({alat})) * cos(radians({blat})) * pow(sin(radians({blon} - {alon}) / 2), 2)))) END"
 
 
 def greedy_sql(pool, anchored, k="k", p=P):

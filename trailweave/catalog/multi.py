@@ -1,10 +1,12 @@
 """Queries: multi-variant requests."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from trailweave.catalog.journeys import hav
-from trailweave.catalog.oracle_views import add_view
+from trailweave.catalog.oracle_views import VIEWS, add_view
 from trailweave.catalog.ranking import built
 from trailweave.catalog.registry import query, shared
 from trailweave.functions.numeric import r6
@@ -152,7 +154,18 @@ def trim_coverage(t):
     return variants.trim_coverage(rows, words, named)
 
 
-@query("variant_history")
+# the history variant is a recommendation from the user alone: the same views over requests without place and preferences
+_ALONE = {"v_requests": "v_h_requests", "v_prefs": "v_h_prefs", "v_hasp": "v_h_hasp", "v_snap": "v_h_snap", "v_recommend": "v_h_recommend"}
+add_view("v_h_requests", "SELECT req_id, user_id, CAST(NULL AS BIGINT) AS current_poi, CAST(NULL AS DOUBLE) AS lat, CAST(NULL AS DOUBLE) AS lon, k, 'soft' AS category_mode FROM v_sig_req WHERE history")
+add_view("v_h_prefs", "SELECT req_id, CAST(NULL AS BOOLEAN) AS free_only, CAST(NULL AS INT) AS max_price_tier FROM v_h_requests")
+add_view("v_h_hasp", "SELECT req_id FROM v_h_requests WHERE false")
+add_view("v_h_snap", "SELECT req_id, poi_id FROM v_snap WHERE false")
+for _name, _sql in [(n, q) for n, q in VIEWS.items() if n.startswith("v_r_") or n == "v_recommend"]:
+    _alone = lambda text: re.sub(r"\bv_\w+", lambda m: _ALONE.get(m[0], re.sub("^v_r_", "v_h_", m[0])), text)
+    add_view(_alone(_name), _alone(_sql))
+
+
+@query("variant_history", "SELECT case_id AS req_id, rank, poi_id, score FROM v_h_recommend")
 def variant_history(t):
     return multi(t).routes.where("variant = 'history'").select("req_id", "rank", "poi_id", "score")
 

@@ -11,7 +11,7 @@ from trailweave.functions.geo import radius_join
 from trailweave.operators import features, intents, prefs, rerank
 from trailweave.plans import recommend as rec
 
-_HAV = "2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians(p.lat - r.lat) / 2), 2) + cos(radians(r.lat)) * cos(radians(p.lat)) * pow(sin(radians(p.lon - r.lon) / 2), 2))))"
+_HAV = "CASE WHEN p.lat + p.lon + r.lat + r.lon IS NOT NULL THEN 2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians(p.lat - r.lat) / 2), 2) + cos(radians(r.lat)) * cos(radians(p.lat)) * pow(sin(radians(p.lon - r.lon) / 2), 2)))) END"
 
 # candidates of the filter queries: POIs co-visited with a POI the request names or its user visited most
 add_view("v_seed", """

@@ -13,11 +13,11 @@ KM_PER_DEGREE = 111.0
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance, arcsine form, argument clamped to 1."""
+    """Great-circle distance, arcsine form, argument clamped to 1; null where a coordinate is."""
     half_dlat = F.radians(lat2 - lat1) / 2
     half_dlon = F.radians(lon2 - lon1) / 2
     a = F.pow(F.sin(half_dlat), F.lit(2.0)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(half_dlon), F.lit(2.0))
-    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return F.when(a.isNotNull(), F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(a))))
 
 
 def haversine_km_atan2(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
