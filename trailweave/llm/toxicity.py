@@ -41,16 +41,16 @@ class Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic): labelled documents outside the held-out fold."""
+    """(doc_id, text, toxic): labelled documents outside the held-out fold. Both sides are dealt by id at every size, as labels grow with the documents."""
     keep = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    return docs.join(keep, "doc_id").select("doc_id", "text", "toxic")
+    return docs.join(keep.hint("merge"), "doc_id").select("doc_id", "text", "toxic")
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def mine_voters(train: DataFrame, voters: int, least_gain: float, least_lift: float) -> list[str]:
+def mine_voters(train: DataFrame, known: DataFrame, voters: int, least_gain: float, least_lift: float) -> list[str]:
     """Beginnings of SHORTEST to LONGEST letters and whole words (marked by a final $) that toxic texts have far more often than clean ones.
 
     ``least_lift`` is in log-odds, ``least_gain`` in the log-likelihood ratio statistic, so that words seen in a few texts by chance don't vote.
@@ -58,7 +58,7 @@ def mine_voters(train: DataFrame, voters: int, least_gain: float, least_lift: fl
     words = F.array_distinct(F.filter(F.split(F.lower("text"), WORD_SPLIT), lambda w: F.length(w) >= 2))
     starts = F.flatten(F.transform(words, lambda w: F.concat(F.array(F.concat(w, F.lit("$"))), F.when(F.length(w) < SHORTEST, F.array().cast("array<string>")).otherwise(
         F.transform(F.sequence(F.lit(SHORTEST), F.greatest(F.lit(SHORTEST), F.least(F.length(w), F.lit(LONGEST)))), lambda n: F.substring(w, F.lit(1), n))))))
-    totals = train.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
+    totals = known.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
     toxic, clean = totals["t"] or 0, (totals["n"] or 0) - (totals["t"] or 0)
     if not toxic or not clean:
         return []
@@ -170,12 +170,13 @@ def fit(docs: DataFrame, labels: DataFrame, voters: int = 200, least_gain: float
     ``voters`` is the size of the model: of the words that tell enough it takes those that tell most, because correlations of all pairs
     of voters come to the driver. Words are counted in all labelled rows. Without labels of both kinds only the fixed list votes.
     """
-    train = materialize(training_rows(docs, labels))
-    found = mine_voters(train, voters, least_gain, least_lift)
+    train = training_rows(docs, labels)  # texts are not written: only the count of words reads them
+    known = materialize(train.select("doc_id", "toxic"))
+    found = mine_voters(train, known, voters, least_gain, least_lift)
     found += [w for w in INSULTS if not any(w.startswith(v.rstrip("$")) or v.startswith(w) for v in found)]
     voted = materialize(vote_columns(docs, found).select("doc_id", "votes", "hits"))
     width = len(found) + FORMS
-    cases = materialize(voted.join(train.select("doc_id", "toxic").dropDuplicates(["doc_id"]), "doc_id", "left").groupBy("votes", "hits").agg(
+    cases = materialize(voted.join(known.dropDuplicates(["doc_id"]).hint("merge"), "doc_id", "left").groupBy("votes", "hits").agg(
         F.count("*").alias("texts"), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("toxic") == 0, 1).otherwise(0)).alias("clean")))
     if cases.isEmpty():
         return Model(found, [0.0] * width, 0.0, [0.0] * (width + 1), 0.0), voted
