@@ -4,10 +4,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trailweave.catalog.oracle_views import add_view
-from trailweave.catalog.registry import query
+from trailweave.catalog.registry import query, shared
 from trailweave.functions.numeric import r9
 from trailweave.operators import engines as eng
-from trailweave.operators import features, splits
+from trailweave.operators import factors, features, splits
 from trailweave.operators import transitions as tr
 from trailweave.session import materialize
 
@@ -279,12 +279,26 @@ def word2vec_train(t):
     return eng.train_skipgram(t.visits)
 
 
+@shared
+def trained_factors(t):
+    return eng.train_als(features.interactions(t.visits))
+
+
 @query("als_train")
 def als_train(t):
-    users, items = eng.train_als(features.interactions(t.visits))
+    users, items = trained_factors(t)
     return users.select(F.lit("user").alias("side"), F.col("user_id").alias("id"), "vec").unionByName(items.select(F.lit("item").alias("side"), F.col("poi_id").alias("id"), "vec"))
 
 
+@query("als_residual", "SELECT count(DISTINCT poi_id) AS n_items, true AS solved FROM v_visits")
+def als_residual(t):
+    """Whether every item's vector, solved last, fulfils its normal equations to a millionth."""
+    users, items = trained_factors(t)
+    ratings = features.interactions(t.visits).select(F.col("poi_id").alias("row"), F.col("user_id").alias("col"), F.col("n").cast("double").alias("n"))
+    gaps = factors.residuals(ratings, items.withColumnRenamed("poi_id", "id"), users.withColumnRenamed("user_id", "id"), 0.01, 40.0)
+    return gaps.agg(F.count("*").alias("n_items"), (F.max("residual") < 1e-6).alias("solved"))
+
+
 # ---------------------------------------------------------------- baselines
 
 def _scoped(t):
