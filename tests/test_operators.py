@@ -353,3 +353,11 @@ def test_crowded_cell(spark):
     keys = ["_cy"]
     hot = numeric.balanced_join(anchors.withColumn("_cy", F.floor("a_lat")), pois.withColumn("_cy", F.floor("lat")), keys, ["case_id"], ["poi_id"], 20)
     assert hot.count() == 300 * 800
+
+
+def test_search_without_items_or_queries(spark):
+    items = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "poi_id long, vec array<double>")
+    queries = spark.createDataFrame([(5, [1.0, 1.0]), (6, None)], "case_id long, vec array<double>")
+    assert vectors.top_items(queries, items.where("poi_id = 2"), 3).count() == 0
+    assert vectors.top_items(queries.where("false"), items, 3).count() == 0
+    assert [(r.case_id, r.poi_id, r["rank"]) for r in vectors.top_items(queries, items, 3).collect()] == [(5, 1, 1)]

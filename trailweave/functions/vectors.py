@@ -166,6 +166,7 @@ def search(
     length = F.greatest(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)), F.lit(1e-300))
     vec = F.transform("vec", lambda x: x / length) if unit else F.col("vec")
     asked = queries.where("vec IS NOT NULL").select(F.col("case_id").cast("long").alias("case_id"), vec.alias("vec"), want.cast("long").alias("want"))
+    asked = asked if index.size.any() else asked.where("false")  # without items there is nothing to find
     first = materialize(chosen_cells(asked, index, False))
     top = lambda rows: top_per_group(rows.withColumn("score", r9("score")), ["case_id"], by_score(), "want")
     found = materialize(top(multiplied(first, index, block_rows, query_blocks)).drop("rank"))
