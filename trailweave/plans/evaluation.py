@@ -98,29 +98,36 @@ def recommend_modes(c: Cases, s: Scored, train: DataFrame, pois: DataFrame, p: E
     out = []
     # engines may score below zero, and then a POI that content puts further down can come before one that it puts first
     lower = s.sparse.where("score < 0").groupBy("case_id").agg(F.countDistinct("poi_id").alias("more"))
-    best = materialize(eng.content_top_k(s.reach, c.seen, s.sig_of, p.k, more=lower)) if {"content", "hybrid", "rrf"} & set(p.modes) else None
+    # beyond this rank in every engine a POI gains less by rank fusion than the k-th of any engine with so many rows; shorter lists lie within it
+    depth = (len(fusion.ENGINES) + 1) * (p.rrf_k + p.k) - p.rrf_k + 10
+    wanted = depth if "rrf" in p.modes else p.k
+    best = materialize(eng.content_top_k(s.reach, c.seen, s.sig_of, wanted, more=lower)) if {"content", "hybrid", "rrf"} & set(p.modes) else None
     scored = s.sparse.where(F.col("engine").isin(*p.modes)).withColumn("mode", F.col("engine"))
     if "content" in p.modes:
         out.append(best.where(F.col("rank") <= p.k).select("case_id", F.lit("content").alias("mode"), "poi_id", "rank"))
-    if {"hybrid", "rrf"} & set(p.modes):
-        ids = s.sparse.select("case_id", "poi_id", "sig").unionByName(best.select("case_id", "poi_id", "sig")).distinct()
-        weights = fusion.weight_selection(case_flags(c, s.sparse), p.trail_weights)
-        if "hybrid" in p.modes:
-            # ids without any engine row other than a zero content score keep a zero sum
-            zero = best.where("score = 0").select("case_id", F.lit("content").alias("engine"), "poi_id", "score", "sig")
-            rows = s.sparse.unionByName(s.content_rows(ids)).unionByName(zero).join(weights.select("case_id", "weights"), "case_id")
-            term = F.col("score") * fusion.weight_of(F.col("weights"), F.col("engine"))
-            hybrid = rows.groupBy("case_id", "poi_id", "sig").agg(r9(F.sum(term)).alias("score"))
-            scored = scored.select("case_id", "mode", "poi_id", "score", "sig").unionByName(hybrid.select("case_id", F.lit("hybrid").alias("mode"), "poi_id", "score", "sig"))
-        if "rrf" in p.modes:
-            w = W.partitionBy("case_id", "engine").orderBy(F.col("score").desc(), "poi_id")
-            ranked = s.sparse.select("case_id", "engine", "poi_id", (F.row_number().over(w) - 1).cast("long").alias("_rank"))
-            sizes = s.sparse.groupBy("case_id", "engine").agg(F.count("*").alias("_size")).unionByName(
-                eng.content_sizes(s.reach, c.seen, s.sig_of).select("case_id", F.lit("content").alias("engine"), F.col("size").alias("_size")))
-            content = eng.content_ranks(ids, s.reach, c.seen, s.sig_of).select("case_id", F.lit("content").alias("engine"), "poi_id", F.col("rank0").alias("_rank"))
-            full = ranked.unionByName(content).join(sizes, ["case_id", "engine"])
-            fused = fusion.rrf_from_ranks(full, p.rrf_k, sizes=sizes).join(ids, ["case_id", "poi_id"])
-            scored = scored.select("case_id", "mode", "poi_id", "score", "sig").unionByName(fused.select("case_id", F.lit("rrf").alias("mode"), "poi_id", "score", "sig"))
+    if "hybrid" in p.modes:
+        weights = fusion.weight_selection(case_flags(c, s.sparse), p.trail_weights).select("case_id", "weights")
+        sims = s.reach.select("case_id", "sig", (F.col("score") / F.col("top")).alias("_c"))
+        term = F.col("score") * fusion.weight_of(F.col("weights"), F.col("engine"))
+        sums = s.sparse.join(weights, "case_id").groupBy("case_id", "poi_id", "sig").agg(F.sum(term).alias("score"))
+        sums = sums.join(sims, ["case_id", "sig"], "left").join(weights, "case_id")
+        sums = sums.select("case_id", "poi_id", "sig", r9(F.col("score") + F.col("weights")[0] * F.coalesce("_c", F.lit(0.0))).alias("score"))
+        # POIs that content alone scores
+        alone = best.join(s.sparse.select("case_id", "poi_id"), ["case_id", "poi_id"], "left_anti").join(weights, "case_id")
+        alone = alone.select("case_id", "poi_id", "sig", r9(F.col("weights")[0] * F.col("score") / F.col("top")).alias("score"))
+        hybrid = sums.unionByName(alone).select("case_id", F.lit("hybrid").alias("mode"), "poi_id", "score", "sig")
+        scored = scored.select("case_id", "mode", "poi_id", "score", "sig").unionByName(hybrid)
+    if "rrf" in p.modes:
+        w = W.partitionBy("case_id", "engine").orderBy(F.col("score").desc(), "poi_id")
+        ranked = materialize(s.sparse.select("case_id", "engine", "poi_id", "sig", (F.row_number().over(w) - 1).cast("long").alias("_rank")))
+        ids = materialize(ranked.where(F.col("_rank") < depth).select("case_id", "poi_id", "sig").unionByName(best.select("case_id", "poi_id", "sig")).distinct())
+        sizes = s.sparse.groupBy("case_id", "engine").agg(F.count("*").alias("_size")).unionByName(
+            eng.content_sizes(s.reach, c.seen, s.sig_of).select("case_id", F.lit("content").alias("engine"), F.col("size").alias("_size")))
+        content = eng.content_ranks(ids, s.reach, c.seen, s.sig_of).select("case_id", F.lit("content").alias("engine"), "poi_id", F.col("rank0").alias("_rank"))
+        placed = ranked.join(ids.select("case_id", "poi_id"), ["case_id", "poi_id"], "left_semi").select("case_id", "engine", "poi_id", "_rank")
+        full = placed.unionByName(content).join(sizes, ["case_id", "engine"])
+        fused = fusion.rrf_from_ranks(full, p.rrf_k, sizes=sizes).join(ids, ["case_id", "poi_id"])
+        scored = scored.select("case_id", "mode", "poi_id", "score", "sig").unionByName(fused.select("case_id", F.lit("rrf").alias("mode"), "poi_id", "score", "sig"))
     out.append(_top(scored, p.k))
     if "popular" in p.modes:
         out.append(eng.popular(c.cases, c.seen, pois, counts, p.k).select("case_id", F.lit("popular").alias("mode"), "poi_id", "rank"))
