@@ -15,3 +15,17 @@ def test_large_input_gets_more_partitions(spark, tmp_path, monkeypatch):
         assert session.fit_partitions(spark, str(tmp_path)) == 10  # a higher setting stays
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_joined_partitions_stay_small_unless_a_size_is_set(spark, tmp_path):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.unset(session.ADVISORY)
+        session.fit_partitions(spark, str(tmp_path))
+        assert spark.conf.get(session.ADVISORY) == str(session.JOINED_BYTES)
+        spark.conf.set(session.ADVISORY, "1m")
+        session.fit_partitions(spark, str(tmp_path))
+        assert spark.conf.get(session.ADVISORY) == "1m"
+    finally:
+        spark.conf.unset(session.ADVISORY)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
