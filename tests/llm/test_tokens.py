@@ -47,6 +47,19 @@ def test_units_give_the_ids_of_whole_texts(path, keeps_gaps):
             assert np.frombuffer(encoder.encode(text or ""), "<u4").tolist() == ids
 
 
+def test_one_word_units_are_kept_once():
+    encoder = UnitEncoder(catalog.BYTE_FILE, keeps_gaps=True)
+    encoder.encode("plain\nnaïve Straße 12 ªº 漢字")
+    assert not {"plain", " naïve", " Straße"} & {*encoder.table.pieces}
+
+
+def test_documents_read_at_once_are_those_read_singly(spark, docs):
+    folder = scratch_dir(spark)
+    row = tokenfiles.write(docs.coalesce(1), catalog.BYTE_FILE, folder).first()
+    part = tokenfiles.Part(folder, row["name"], row["n_docs"], row["width"])
+    assert part.packed(0, row["n_docs"]) == [part.ids(k).astype("<u4").tobytes() for k in range(row["n_docs"])]
+
+
 def test_token_files(spark, docs):
     folder = scratch_dir(spark)
     manifest = tokenfiles.write(docs, catalog.BYTE_FILE, folder)

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from trailweave.llm.vocab import shared_encoder
 from trailweave.session import materialize
 
+#: Documents read at once from a part.
+READ_AT_ONCE = 64
 MANIFEST = "part long, name string, n_docs long, n_null long, n_tokens long, width int"
 
 
@@ -51,8 +53,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, id_col:
             if batch.num_rows and stream is None:
                 stream = files.open_output_stream(f"{name}.bin")
             ids += batch.column(0).to_pylist()
-            for text in batch.column(1):
-                packed = encoder.encode(text.as_py())
+            for text in batch.column(1).to_pylist():
+                packed = encoder.encode(text)
                 stream.write(packed + end)
                 lengths.append((len(packed) + len(end)) // len(end))
         if stream is None:
@@ -82,11 +84,17 @@ class Part:
         self.offsets, self.doc_ids, self.width = both[:n_docs + 1], both[n_docs + 1:], width
         self.file = pa.memory_map(f"{path}/{name}.bin") if isinstance(files, pafs.LocalFileSystem) else files.open_input_file(f"{path}/{name}.bin")
 
-    def ids(self, k: int) -> np.ndarray:
-        first, last = int(self.offsets[k]), int(self.offsets[k + 1])
+    def ids(self, k: int, end: int | None = None) -> np.ndarray:
+        """The ids of document ``k``, or of the documents from there up to ``end``."""
+        first, last = int(self.offsets[k]), int(self.offsets[k + 1 if end is None else end])
         self.file.seek(first * self.width)
         return np.frombuffer(self.file.read_buffer((last - first) * self.width), f"<u{self.width}")
 
+    def packed(self, k: int, end: int) -> list[bytes]:
+        """The ids of each document from ``k`` up to ``end`` as little-endian uint32."""
+        whole, cuts = memoryview(self.ids(k, end).astype("<u4")).cast("B"), ((self.offsets[k:end + 1] - self.offsets[k]) * 4).tolist()
+        return [bytes(whole[a:b]) for a, b in zip(cuts, cuts[1:])]
+
 
 def read(spark: SparkSession, manifest: DataFrame, folder: str, rows_per_batch: int = 2000) -> DataFrame:
     """(doc_id, start, n_tokens, ids binary as little-endian uint32, ids_crc32), a row a document, a task for a part."""
@@ -98,7 +106,7 @@ def read(spark: SparkSession, manifest: DataFrame, folder: str, rows_per_batch:
                 part = Part(folder, row["name"], row["n_docs"], row["width"])
                 for at in range(0, row["n_docs"], rows_per_batch):
                     span = range(at, min(at + rows_per_batch, row["n_docs"]))
-                    ids = [part.ids(k).astype("<u4").tobytes() for k in span]
+                    ids = [x for k in span[::READ_AT_ONCE] for x in part.packed(k, min(k + READ_AT_ONCE, span.stop))]
                     yield pa.RecordBatch.from_arrays([
                         pa.array([None if k < row["n_null"] else int(part.doc_ids[k]) for k in span], pa.int64()),
                         pa.array([row["base"] + int(part.offsets[k]) for k in span], pa.int64()),
