@@ -75,4 +75,8 @@ def test_contenders_give_every_list_and_are_few(spark):
         assert sorted(map(tuple, got.collect())) == sorted(plain(sig, raw, seen, reach, cases))
     finally:
         ev.contenders = whole
+    gone, scored = set(seen), [r for r in raw if r[3] == max(x[3] for x in raw if x[:2] == r[:2])]
+    top = {r[:2]: r[3] for r in scored}
+    want = sorted((c, e, p, score / top[c, e], g) for c, e, p, score, scope, g in raw if scope and (c, p) not in gone and top[c, e] > 0)
+    assert sorted(map(tuple, s.sparse.select("case_id", "engine", "poi_id", "score", "sig").collect())) == want
     assert kept[0].count() < s.sparse.select("case_id", "poi_id").distinct().count() / 3
